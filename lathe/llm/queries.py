@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, token_counts, toxicity
+from . import ann, bpe, embedding_dedup, mixing, pii, token_counts, toxicity
 from ._common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "vectors"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(spark, table(spark, sf_dir, "documents"), Scratch(spark, "pii"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -60,8 +69,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, Scratch(spark, "nearest"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_bpe, op7_mix_sources, op8_token_counts, op9_toxicity)}
+    own = (op2_embedding_dedup, op3_personal_data, op6_bpe, op7_mix_sources, op8_token_counts, op9_toxicity, op10_nearest)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
