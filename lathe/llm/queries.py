@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, mixing, pii, token_counts, toxicity
+from . import ann, bpe, embedding_dedup, mixing, ngram_join, pii, token_counts, toxicity
 from ._common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"), Scratch(spark, "join"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op2_embedding_dedup, op3_personal_data, op6_bpe, op7_mix_sources, op8_token_counts, op9_toxicity, op10_nearest)
+    own = (op2_embedding_dedup, op3_personal_data, op4_ngram_join, op6_bpe, op7_mix_sources, op8_token_counts, op9_toxicity, op10_nearest)
     return {f.__name__: f for f in own}
 
 
