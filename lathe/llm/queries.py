@@ -7,12 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, mixing, ngram_join, pii, token_counts, toxicity
+from . import ann, bpe, embedding_dedup, line_dedup, mixing, ngram_join, pii, token_counts, toxicity
 from ._common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"), Scratch(spark, "lines"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+OP1_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+p AS (
+  SELECT a.doc_id AS d1, b.doc_id AS d2, a.i AS i1, b.i AS i2, a.words,
+         a.i - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, b.i - a.i ORDER BY a.i) AS run
+  FROM w a JOIN w b ON a.line = b.line AND (a.doc_id, a.i) < (b.doc_id, b.i)),
+r AS (SELECT d2, min(i2) AS first, max(i2) AS last FROM p GROUP BY d1, d2, i2 - i1, run HAVING sum(words) >= 50),
+x AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN r ON w.doc_id = r.d2 AND w.i BETWEEN r.first AND r.last),
+k AS (SELECT w.doc_id, count(*) AS n_lines, count(x.i) AS n_removed, coalesce(string_agg(CASE WHEN x.i IS NULL THEN w.line END, chr(10) ORDER BY w.i), '') AS kept
+      FROM w LEFT JOIN x ON w.doc_id = x.doc_id AND w.i = x.i GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE sha256(k.kept) END AS text_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "vectors"))
 
@@ -78,9 +102,9 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op2_embedding_dedup, op3_personal_data, op4_ngram_join, op6_bpe, op7_mix_sources, op8_token_counts, op9_toxicity, op10_nearest)
+    own = (op1_line_dedup, op2_embedding_dedup, op3_personal_data, op4_ngram_join, op6_bpe, op7_mix_sources, op8_token_counts, op9_toxicity, op10_nearest)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL}
