@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, line_dedup, mixing, ngram_join, pii, token_counts, toxicity
+from . import ann, bpe, embedding_dedup, licenses, line_dedup, mixing, ngram_join, pii, token_counts, toxicity
 from ._common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"), Scratch(spark, "join"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -102,9 +106,9 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_line_dedup, op2_embedding_dedup, op3_personal_data, op4_ngram_join, op6_bpe, op7_mix_sources, op8_token_counts, op9_toxicity, op10_nearest)
+    own = (op1_line_dedup, op2_embedding_dedup, op3_personal_data, op4_ngram_join, op5_licenses, op6_bpe, op7_mix_sources, op8_token_counts, op9_toxicity, op10_nearest)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_licenses": licenses.oracle(), "op7_mix_sources": OP7_SQL}
