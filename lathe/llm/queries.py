@@ -96,7 +96,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(spark, docs, labels)
+    model = toxicity.fit(spark, docs, labels, Scratch(spark, "toxic"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return toxicity.score_documents(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

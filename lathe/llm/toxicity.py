@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import Scratch
+
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -86,7 +88,7 @@ def trainable(labels: DataFrame, label: str = "toxic") -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (rest != 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, s: Settings | None = None) -> Model:
     """Learn from a bounded number of labelled documents, their whole texts; the rest of the corpus doesn't matter.
 
     Without rows of both classes the model is a constant: the share of marked rows, at one half to begin with.
@@ -109,35 +111,45 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, s: Settings | N
 
     # At most positives + negatives ids: a bound that doesn't grow with the corpus.
     chosen = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
-    rows = chosen.mapInPandas(terms, "doc_id long, y int, b array<int>, n array<int>").groupBy("doc_id").agg(F.min(F.struct("y", "b", "n")).alias("r")).select("doc_id", "r.*").toPandas()
-    if not len(rows) or rows["y"].nunique() < 2:
+    counted = scratch.put(chosen.mapInPandas(terms, "doc_id long, y int, b array<int>, n array<int>").groupBy("doc_id").agg(F.min(F.struct("y", "b", "n")).alias("r")).select("doc_id", "r.*"))
+    m1, m0 = (counted.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()[i] or 0 for i in (0, 1))
+    if not m0 or not m1:
         return Model(float(np.log(base / (1 - base))))
-    rows = rows.sort_values("doc_id")
-    return learn([np.asarray(b) for b in rows["b"]], [np.asarray(n) for n in rows["n"]], rows["y"].to_numpy(float), n0, n1, s)
-
-
-def learn(buckets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, n0: int, n1: int, s: Settings) -> Model:
-    """Screen terms by how unevenly the classes have them, then fit the machine by Adam on all rows at once."""
-    some = np.concatenate(buckets).astype(np.int64) if len(buckets) else np.zeros(0, np.int64)
-    cls = np.repeat(y, [len(b) for b in buckets])
-    d1, d0 = np.bincount(some[cls == 1], minlength=s.buckets), np.bincount(some[cls == 0], minlength=s.buckets)
-    m1, m0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
-    p = (d1 + d0) / (m1 + m0)
-    z = np.abs(d1 / m1 - d0 / m0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / m1 + 1 / m0))
-    z[(d1 + d0) < 3] = 0
-    keep = np.flatnonzero(z >= s.least_z)
-    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[: s.terms]])
-    at = np.full(s.buckets, -1)
-    at[keep] = np.arange(len(keep))
-    x = np.zeros((len(y), len(keep)), np.float32)
-    for i, (b, n) in enumerate(zip(buckets, counts, strict=True)):
-        if len(b):
-            j = at[b]
-            x[i, j[j >= 0]] = np.log1p(n[j >= 0])
-    weight = np.where(y == 1, n1 / m1, n0 / m0)
+    keep = screened(counted, m0, m1, s)
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {int(b): i for i, b in enumerate(keep)}
+        for b in batches:
+            got = [[(at[x], k) for x, k in zip(own, n, strict=True) if x in at] for own, n in zip(b["b"], b["n"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [np.array([v for p in g for v in p], np.int32).tobytes() for g in got]})
+
+    rows = counted.mapInPandas(kept, "doc_id long, y int, x binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    x = np.zeros((len(rows), len(keep)), np.float32)
+    for i, r in enumerate(rows):
+        own = np.frombuffer(r["x"], np.int32).reshape(-1, 2)
+        x[i, own[:, 0]] = np.log1p(own[:, 1])
+    y = np.array([r["y"] for r in rows], float)
+    del rows
+    return learn(x, y, keep, n0 / m0, n1 / m1, s)
+
+
+def screened(counted: DataFrame, m0: int, m1: int, s: Settings) -> np.ndarray:
+    """The buckets that the classes have most unevenly, by a two-proportion z-test; counted where the rows are."""
+    d = counted.select("y", F.explode("b").alias("b")).groupBy("b").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0")).where("d1 + d0 >= 3")
+    p = (F.col("d1") + F.col("d0")) / (m1 + m0)
+    z = F.abs(F.col("d1") / m1 - F.col("d0") / m0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / m1 + 1 / m0))
+    best = d.withColumn("z", z).where(F.col("z") >= s.least_z).orderBy(F.col("z").desc(), "b").limit(s.terms)
+    return np.array(sorted(r["b"] for r in best.select("b").collect()), np.int64)
+
+
+def learn(x: np.ndarray, y: np.ndarray, keep: np.ndarray, w0: float, w1: float, s: Settings) -> Model:
+    """Fit the machine by Adam on all rows at once; w0 and w1 weigh the classes back to their shares."""
+    weight = np.where(y == 1, w1, w0)
+    prior = np.log((w1 * (y == 1).sum()) / (w0 * (y == 0).sum()))
     weight = (weight / weight.mean()).astype(np.float32)
     rng = np.random.default_rng(s.seed)
-    theta = [np.array([np.log(n1 / n0)], np.float32), np.zeros(len(keep), np.float32), rng.normal(0, 0.01, (len(keep), s.factors)).astype(np.float32)]
+    theta = [np.array([prior], np.float32), np.zeros(len(keep), np.float32), rng.normal(0, 0.01, (len(keep), s.factors)).astype(np.float32)]
     m, r = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     xx = x * x
     for step in range(1, s.epochs + 1):
@@ -185,10 +197,10 @@ def scorer(model: Model, s: Settings):
     return lambda texts: np.concatenate([score(texts[i : i + 512]) for i in range(0, len(texts), 512)]) if len(texts) else np.zeros(0)
 
 
-def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> DataFrame:
+def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, s: Settings | None = None) -> DataFrame:
     """The documents that are not predicted toxic, all their columns and rows; null texts stay unless the base rate rejects them."""
     s = s or Settings()
-    shared = spark.sparkContext.broadcast((fit(spark, docs, labels, s), s))
+    shared = spark.sparkContext.broadcast((fit(spark, docs, labels, scratch, s), s))
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
