@@ -36,6 +36,7 @@ class Settings:
     verify_cost: float = 10.0
     unseen: float = 0.2
     broadcast_ids: int = 1_000_000
+    bands: int = 4
 
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +80,14 @@ class Shingler:
         return np.unique(mixed(h + np.uint64(k)))
 
 
+def bands(h: np.ndarray, n: int) -> list[int] | None:
+    """For each band the two least hashes under two orders, as one number; alike in two sets with the square of their similarity."""
+    if not len(h):
+        return None
+    least = [int(mixed(h, 1000 + i).min()) for i in range(2 * n)]
+    return [hash((least[2 * i], least[2 * i + 1])) for i in range(n)]
+
+
 def least_shared(n: np.ndarray | int, s: Settings):
     """Shingles that a set of size n shares with any set it links with."""
     return -(-s.part * n // s.of)
@@ -96,7 +105,7 @@ def ordered_prefix(h: np.ndarray, excess: np.ndarray, level: np.ndarray, s: Sett
     """(prefix, l) of a set: shingles in the global order as far as the cheapest l asks for."""
     n = len(h)
     at = counter_of(h, s)
-    order = np.lexsort((h, level[at]))
+    order = np.argsort(level[at], kind="stable")  # hashes are in order
     need = int(least_shared(n, s))
     first = n - need
     ells = np.unique(np.clip((n * np.array([0, 0.01, 0.02, 0.04, 0.06, 0.09, 0.12, 0.16])).astype(int), 1, need))
@@ -107,7 +116,7 @@ def ordered_prefix(h: np.ndarray, excess: np.ndarray, level: np.ndarray, s: Sett
     return h[order[: first + ell]], ell
 
 
-def list_pairs(starts: np.ndarray, sizes: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def list_pairs(starts: np.ndarray, sizes: np.ndarray, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of all pairs within each list, lists of one size at a time; a long list goes row by row."""
     for m in np.unique(sizes[sizes > 1]):
         own = starts[sizes == m]
@@ -137,24 +146,23 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, counts = Shingler(s.words), np.zeros(s.counters, np.int32)
-        cols = ["doc_id", "n", "s1", "s2", "chunk", "counts"]
+        cols = ["doc_id", "n", "s1", "s2", "bands", "chunk", "counts"]
         for b in batches:
-            rows = []
+            rows, some = [], []
             for doc_id, t in zip(b["doc_id"], b["text"], strict=True):
                 h = shingle(t)
+                some.append(h)
                 d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
-                rows.append((doc_id, len(h), d[0], d[1], None, None))
-                counts += np.bincount(counter_of(h, s), minlength=s.counters).astype(np.int32) if len(h) > s.counters // 8 else 0
-                if len(h) <= s.counters // 8:
-                    at, k = np.unique(counter_of(h, s), return_counts=True)
-                    counts[at] += k.astype(np.int32)
+                rows.append((doc_id, len(h), d[0], d[1], bands(h, s.bands), None, None))
+            at, k = np.unique(counter_of(np.concatenate(some), s), return_counts=True)
+            counts[at] += k.astype(np.int32)
             yield pd.DataFrame(rows, columns=cols).astype({"chunk": "Int32"})
         size = s.counters // s.chunks
         own = [(c, zlib.compress(counts[c * size : (c + 1) * size].tobytes(), 1)) for c in range(s.chunks) if counts[c * size : (c + 1) * size].any()]
-        yield pd.DataFrame([(None, None, None, None, c, z) for c, z in own], columns=cols).astype({"doc_id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64", "chunk": "Int32"})
+        yield pd.DataFrame([(None, None, None, None, None, c, z) for c, z in own], columns=cols).astype({"doc_id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64", "chunk": "Int32"})
 
-    measured = scratch.put(text.mapInPandas(measure, "doc_id long, n long, s1 long, s2 long, chunk int, counts binary"))
-    sizes = measured.where(F.col("chunk").isNull()).select("doc_id", "n", "s1", "s2")
+    measured = scratch.put(text.mapInPandas(measure, "doc_id long, n long, s1 long, s2 long, bands array<long>, chunk int, counts binary"))
+    sizes = measured.where(F.col("chunk").isNull()).select("doc_id", "n", "s1", "s2", "bands")
 
     def add_up(key, parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(s.counters // s.chunks, np.float32)
@@ -184,10 +192,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
                     continue
                 seen.add(own)
                 p, ell = ordered_prefix(h, excess, level, s)
-                out.append((p.view(np.int64), doc_id, len(h), ell, int(mixed(h, 77).min() >> np.uint64(33))))
+                out.append((p.view(np.int64), doc_id, len(h), ell))
             if out:
                 k = [len(o[0]) for o in out]
-                yield pd.DataFrame({"tok": np.concatenate([o[0] for o in out]), "doc": np.repeat(np.array([o[1] for o in out], np.int64), k), "n": np.repeat(np.array([o[2] for o in out], np.int32), k), "pos": np.concatenate([np.arange(j, dtype=np.int32) for j in k]), "ell": np.repeat(np.array([o[3] for o in out], np.int32), k), "mh": np.repeat(np.array([o[4] for o in out], np.int32), k)})
+                yield pd.DataFrame({"tok": np.concatenate([o[0] for o in out]), "doc": np.repeat(np.array([o[1] for o in out], np.int64), k), "n": np.repeat(np.array([o[2] for o in out], np.int32), k), "pos": np.concatenate([np.arange(j, dtype=np.int32) for j in k]), "ell": np.repeat(np.array([o[3] for o in out], np.int32), k)})
 
     def alive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = whole(batches)
@@ -199,38 +207,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
         keep = np.r_[False, same] | np.r_[same, False] if len(t) else np.zeros(0, bool)
         yield part[keep]
 
-    posting = "tok long, doc long, n int, pos int, ell int, mh int"
+    posting = "tok long, doc long, n int, pos int, ell int"
     live = scratch.put(text.where(F.col("doc_id").isNotNull()).mapInPandas(index, posting).repartition(n_parts, "tok").mapInPandas(alive, posting))
 
-    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """From each document of a list that looks alike (the same least hash) to the first of them, and between neighbours of such groups."""
-        part = whole(batches)
-        if part is None:
-            return
-        part = part.sort_values(["tok", "mh", "n", "doc"], ignore_index=True)
-        t, m, d, n = (part[c].to_numpy() for c in ("tok", "mh", "doc", "n"))
-        new = np.r_[True, (t[1:] != t[:-1]) | (m[1:] != m[:-1])]
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        x, y = head, np.arange(len(t))
-        ok = (d[x] != d[y]) & (n[x].astype(np.int64) * s.of >= n[y].astype(np.int64) * s.part)
-        # Groups of a list that have several members hang on the largest one.
-        starts = np.flatnonzero(new)
-        size = np.diff(np.r_[starts, len(t)])
-        order = np.lexsort((-size, t[starts]))
-        ts = t[starts][order]
-        lead = np.r_[True, ts[1:] != ts[:-1]]
-        best = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-        a, b = starts[best], starts[order]
-        lo, hi = np.minimum(n[a], n[b]).astype(np.int64), np.maximum(n[a], n[b]).astype(np.int64)
-        more = (a != b) & (size[best] > 2) & (lo * s.of >= hi * s.part)
-        pairs = np.unique(np.stack([np.r_[d[x[ok]], d[a[more]]], np.r_[d[y[ok]], d[b[more]]]], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        yield pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1]})
-
-    first = scratch.put(live.repartition(n_parts, "tok").mapInPandas(stars, "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    # Stars of documents that look alike: each to the smallest id with the same least hashes in a band.
+    alike = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).select("doc_id", F.posexplode("bands").alias("band", "key"))
+    head = scratch.put(alike.groupBy("band", "key").agg(F.min("doc_id").alias("x"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    first = scratch.put(alike.join(head, ["band", "key"]).select("x", F.col("doc_id").alias("y")).where("x <> y").distinct())
     links = verified(spark, text, first, scratch, s)
     near = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    labelled = live.join(near.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component", "mh")
+    labelled = live.join(near.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of a list in different components that size and position allow, within the shorter of both prefixes."""
