@@ -49,35 +49,69 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Base of the word hash and its inverse modulo 2^64.
+BASE = 0x100000001B3
+INVERSE = pow(BASE, -1, 1 << 64)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class Shingler:
-    """The set of a text as sorted 64-bit hashes. Words are runs of anything but ASCII white space, A-Z lower-cased."""
+    """Sets of texts as sorted 64-bit hashes. Words are runs of anything but ASCII white space, A-Z lower-cased.
+
+    Words are hashed from running sums over the bytes of many texts at once, shingles from their words' hashes.
+    """
 
-    def __init__(self, words: int) -> None:
-        self.words = words
-        self.known: dict[bytes, int] = {}
+    def __init__(self, words: int, chunk: int = 1 << 20) -> None:
+        self.words, self.chunk = words, chunk
+        self.up, self.down = powers(BASE, chunk), powers(INVERSE, chunk)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
+        return self.sets([text])[0]
+
+    def sets(self, texts) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        some: list[bytes] = []
+        size = 0
+        for t in texts:
+            b = (t or "").encode("utf-8", "surrogatepass").lower()
+            if some and size + len(b) > self.chunk:
+                out += self._sets(some)
+                some, size = [], 0
+            some.append(b)
+            size += len(b) + 1
+        return out + (self._sets(some) if some else [])
+
+    def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        if len(raw) > len(self.up):
+            self.up, self.down = powers(BASE, len(raw)), powers(INVERSE, len(raw))
+        gap = SPACE[raw]
+        edge = np.flatnonzero(np.diff(np.r_[True, gap].view(np.int8)))
+        start, stop = edge[::2], edge[1::2]  # the last byte is a gap, so that every word ends
+        total = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)])]
+        w = mixed((total[stop] - total[start]) * self.down[start] + (stop - start).astype(np.uint64) * PRIME)
+        bound = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        k = self.words
+        h = w[: max(0, len(w) - k + 1)].copy()
+        for i in range(1, k):
+            h = h * PRIME + w[i : len(w) - k + 1 + i]
+        h = mixed(h + np.uint64(k))
+        return [np.unique(h[a : z - k + 1]) if z - a >= k else self._short(w[a:z]) for a, z in zip(bound[:-1], bound[1:], strict=True)]
 
-        parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not parts:
+    def _short(self, w: np.ndarray) -> np.ndarray:
+        if not len(w):
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        try:
-            a = np.array([known[w] for w in parts], np.uint64)
-        except KeyError:
-            for w in parts:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            a = np.array([known[w] for w in parts], np.uint64)
-        k = min(self.words, len(a))
-        m = len(a) - k + 1
-        h = a[:m].copy()
-        for i in range(1, k):
-            h = h * PRIME + a[i : m + i]
-        return np.unique(mixed(h + np.uint64(k)))
+        h = w[:1].copy()
+        for x in w[1:]:
+            h = h * PRIME + x
+        return mixed(h + np.uint64(len(w)))
 
 
 def bands(h: np.ndarray, n: int) -> list[int] | None:
@@ -88,6 +122,11 @@ def bands(h: np.ndarray, n: int) -> list[int] | None:
     return [hash((least[2 * i], least[2 * i + 1])) for i in range(n)]
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Parities of the number of shingles in 256 buckets."""
+    return np.packbits(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).tobytes()
+
+
 def least_shared(n: np.ndarray | int, s: Settings):
     """Shingles that a set of size n shares with any set it links with."""
     return -(-s.part * n // s.of)
@@ -146,23 +185,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, counts = Shingler(s.words), np.zeros(s.counters, np.int32)
-        cols = ["doc_id", "n", "s1", "s2", "bands", "chunk", "counts"]
+        cols = ["doc_id", "n", "s1", "s2", "bands", "bits", "chunk", "counts"]
         for b in batches:
             rows, some = [], []
-            for doc_id, t in zip(b["doc_id"], b["text"], strict=True):
-                h = shingle(t)
+            for doc_id, h in zip(b["doc_id"], shingle.sets(b["text"]), strict=True):
                 some.append(h)
                 d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
-                rows.append((doc_id, len(h), d[0], d[1], bands(h, s.bands), None, None))
+                rows.append((doc_id, len(h), d[0], d[1], bands(h, s.bands), bitmap(h), None, None))
             at, k = np.unique(counter_of(np.concatenate(some), s), return_counts=True)
             counts[at] += k.astype(np.int32)
             yield pd.DataFrame(rows, columns=cols).astype({"chunk": "Int32"})
         size = s.counters // s.chunks
         own = [(c, zlib.compress(counts[c * size : (c + 1) * size].tobytes(), 1)) for c in range(s.chunks) if counts[c * size : (c + 1) * size].any()]
-        yield pd.DataFrame([(None, None, None, None, None, c, z) for c, z in own], columns=cols).astype({"doc_id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64", "chunk": "Int32"})
+        yield pd.DataFrame([(None, None, None, None, None, None, c, z) for c, z in own], columns=cols).astype({"doc_id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64", "chunk": "Int32"})
 
-    measured = scratch.put(text.mapInPandas(measure, "doc_id long, n long, s1 long, s2 long, bands array<long>, chunk int, counts binary"))
-    sizes = measured.where(F.col("chunk").isNull()).select("doc_id", "n", "s1", "s2", "bands")
+    measured = scratch.put(text.mapInPandas(measure, "doc_id long, n long, s1 long, s2 long, bands array<long>, bits binary, chunk int, counts binary"))
+    sizes = measured.where(F.col("chunk").isNull()).select("doc_id", "n", "s1", "s2", "bands", "bits")
 
     def add_up(key, parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(s.counters // s.chunks, np.float32)
@@ -185,8 +223,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
         shingle, (excess, level), seen = Shingler(s.words), shared.value, set()
         for b in batches:
             out = []
-            for doc_id, t in zip(b["doc_id"], b["text"], strict=True):
-                h = shingle(t)
+            for doc_id, h in zip(b["doc_id"], shingle.sets(b["text"]), strict=True):
                 own = hashlib.blake2b(h.tobytes(), digest_size=12).digest()
                 if not len(h) or own in seen:  # one of each set a task; the others follow by their set
                     continue
@@ -216,7 +253,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
     first = scratch.put(alike.join(head, ["band", "key"]).select("x", F.col("doc_id").alias("y")).where("x <> y").distinct())
     links = verified(spark, text, first, scratch, s)
     near = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    labelled = live.join(near.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    known = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("doc_id", "n").agg(F.first("bits").alias("bits"))
+    known = scratch.put(known.join(near, known["doc_id"] == near["id"], "left").select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.coalesce("component", "doc_id").alias("comp"), "bits"))
+    labelled = live.join(known, ["doc", "n"])
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of a list in different components that size and position allow, within the shorter of both prefixes."""
@@ -229,6 +268,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
         sizes = np.diff(np.r_[starts, len(t)])
         mixed_lists = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
         left = n - pos
+        bits = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(-1, 4)
         out = []
         for x, y in list_pairs(starts[mixed_lists], sizes[mixed_lists]):
             need = np.minimum(ell[x], ell[y])
@@ -236,6 +276,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
             ok &= np.minimum(left[x], left[y]) + need - 1 >= required(n[x], n[y], s)
             ok &= (pos[x] < n[x] - least_shared(n[x], s) + need) & (pos[y] < n[y] - least_shared(n[y], s) + need)
             x, y, need = x[ok], y[ok], need[ok]
+            # Elements of just one set flip the parity of their bit: a bound on what both can share.
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1).astype(np.int64)
+            ok = n[x] + n[y] - apart >= 2 * required(n[x], n[y], s)
+            x, y, need = x[ok], y[ok], need[ok]
             if len(x):
                 out.append(np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y]), need], 1))
         if out:
@@ -269,7 +313,7 @@ def verified(spark: SparkSession, text: DataFrame, pairs: DataFrame, scratch: Sc
         for b in batches:
             if wanted is not None:
                 b = b[np.isin(b["doc_id"].to_numpy(np.int64), wanted.value)]
-            yield pd.DataFrame({"doc": b["doc_id"], "own": [packed(shingle(t)) for t in b["text"]]})
+            yield pd.DataFrame({"doc": b["doc_id"], "own": [packed(h) for h in shingle.sets(b["text"])]})
 
     made = scratch.put(own.mapInPandas(sets, "doc long, own binary"))
 
