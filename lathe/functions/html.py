@@ -23,9 +23,14 @@ def element(tag: str) -> str:
     return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is named: plans don't grow with nesting."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def each(text: Column, pattern: str, make: Callable[[Column], Column]) -> Column:
     """The text with every match of `pattern` replaced by what `make` gives for it."""
-    return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), text, lambda s, m: F.replace(s, m, make(m)))
+    return let(text, lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), t, lambda s, m: F.replace(s, m, make(m))))
 
 
 def looks_like_html(text: Column) -> Column:
@@ -37,6 +42,10 @@ def looks_like_html(text: Column) -> Column:
 
 def main_region(html: Column) -> Column:
     """What <main> or else <article> holds, if that is more than 200 characters; else the body; else all."""
+    return let(html, _main_region)
+
+
+def _main_region(html: Column) -> Column:
     out = None
     for tag in ("main", "article"):
         inner = F.regexp_extract(html, element(tag), 1)
@@ -86,12 +95,15 @@ def rows_of(table: Column) -> Column:
 
 
 def pad_rows(rows: Column) -> Column:
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+    widest = lambda rs: F.array_max(F.transform(rs, lambda r: F.size(r)))
+    return let(rows, lambda rs: F.transform(rs, lambda r: F.concat(r, F.array_repeat(F.lit(""), widest(rs) - F.size(r)))))
 
 
 def table_markdown(table: Column) -> Column:
-    rows = pad_rows(F.transform(rows_of(table), lambda r: F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|")))))
+    return let(pad_rows(F.transform(rows_of(table), lambda r: F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))))), _drawn)
+
+
+def _drawn(rows: Column) -> Column:
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     head = F.get(rows, F.lit(0))
     ruled = F.concat(F.array(line(head), line(F.array_repeat(F.lit("---"), F.size(head)))), F.transform(F.slice(rows, F.lit(2), F.size(rows)), line))
@@ -110,6 +122,9 @@ def links(text: Column) -> Column:
     def one(m: Column) -> Column:
         href = F.coalesce(*[F.nullif(F.regexp_extract(m, rf"(?is)^<a\b[^>]*\bhref\s*=\s*{q}", 1), F.lit("")) for q in ('"([^"]*)"', "'([^']*)'", r"([^\s>\"']+)")], F.lit(""))
         label = collapse(strip_tags(m))
+        return let(F.struct(href.alias("href"), label.alias("label")), lambda x: shown(x["href"], x["label"]))
+
+    def shown(href: Column, label: Column) -> Column:
         return F.when((href == "") | href.startswith("#"), label).when(label == "", href).otherwise(F.concat(F.lit("["), label, F.lit("]("), href, F.lit(")")))
 
     return each(text, r"(?is)<a\b[^>]*>.*?</a\s*>", one)
@@ -147,4 +162,4 @@ def to_markdown(html: Column) -> Column:
 
 def region_note(html: Column) -> Column:
     s = strip_comments(F.coalesce(html, F.lit("")))
-    return F.when(F.length(main_region(s)) < F.length(s) * 0.6, "Only the main content region was read; page furniture was skipped.")
+    return F.when(let(s, lambda t: F.length(main_region(t)) < F.length(t) * 0.6), "Only the main content region was read; page furniture was skipped.")

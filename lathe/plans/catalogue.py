@@ -11,7 +11,8 @@ from ..functions import blocks, cells, columnar, html, masking
 from ..functions import text as T
 from ..functions.masking import DUCK_ANY, duck_mask
 from ..functions.text import duck_re
-from ..operators import layout, reduce, store, tables, templates
+from ..operators import layout, pipeline, reduce, store, tables, templates
+from ..sources import formats
 from ..sources.tables import LOG_SQL, log_artifacts, log_lines, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,10 +245,10 @@ def delta_encode(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("l_orderkey", "encoded", (columnar.decode_delta(F.col("encoded")) == F.col("a")).alias("same"))
 
 
-@query(f"WITH {per_order_sql('l_returnflag')} SELECT l_orderkey, {DICT_SQL} AS encoded, CASE WHEN ({DICT_SQL}) IS NOT NULL THEN true END AS same FROM o")
+@query(f"WITH {per_order_sql('l_returnflag')} SELECT l_orderkey, {DICT_SQL} AS encoded, ({DICT_SQL}) IS NOT NULL AS same FROM o")
 def dict_encode(spark: SparkSession, sf: str) -> DataFrame:
     e = per_order(spark, sf, "l_returnflag").withColumn("encoded", columnar.encode_dict(F.col("a")))
-    return e.select("l_orderkey", "encoded", (columnar.decode_dict(F.col("encoded")) == F.col("a")).alias("same"))
+    return e.select("l_orderkey", "encoded", F.coalesce(columnar.decode_dict(F.col("encoded")) == F.col("a"), F.lit(False)).alias("same"))
 
 
 @query(f"WITH {per_order_sql('l_linestatus')} SELECT l_orderkey, {RUNS_SQL} AS encoded, true AS same FROM o")
@@ -486,11 +487,16 @@ def html_links(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("page_id", html.links(F.col("m")).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query("WITH h AS (SELECT page_id, unnest([1,2,3,4,5,6]) AS level, html FROM pages), e AS (SELECT page_id, level, unnest(regexp_extract_all(html, '(?is)<h' || level || '\\b[^>]*>\\s*(.*?)\\s*</h' || level || '\\s*>', 1)) AS t FROM h) SELECT page_id, CAST(level AS INT) AS level, repeat('#', level) || ' ' || t AS heading FROM e")
+HEADINGS_SQL = " UNION ALL ".join(f"SELECT page_id, CAST({n} AS INT) AS level, '{'#' * n} ' || unnest(regexp_extract_all(html, '(?is)<h{n}\\b[^>]*>\\s*(.*?)\\s*</h{n}\\s*>', 1)) AS heading FROM pages" for n in range(1, 7))
+
+
+@query(HEADINGS_SQL)
 def html_headings(spark: SparkSession, sf: str) -> DataFrame:
-    p = read(spark, sf, "pages")
-    every = F.flatten(F.array(*[F.transform(F.regexp_extract_all("html", F.lit(rf"(?is)<h{n}\b[^>]*>\s*(.*?)\s*</h{n}\s*>"), F.lit(1)), lambda t, n=n: F.struct(F.lit(n).alias("level"), F.concat(F.lit("#" * n), F.lit(" "), t).alias("heading"))) for n in range(1, 7)]))
-    return p.select("page_id", F.inline(every))
+    def level(n: int) -> F.Column:
+        found = F.regexp_extract_all("html", F.lit(rf"(?is)<h{n}\b[^>]*>\s*(.*?)\s*</h{n}\s*>"), F.lit(1))
+        return F.transform(found, lambda t: F.struct(F.lit(n).alias("level"), F.concat(F.lit("#" * n + " "), t).alias("heading")))
+
+    return read(spark, sf, "pages").select("page_id", F.inline(F.flatten(F.array(*map(level, range(1, 7))))))
 
 
 @query("WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<ul\\b[^>]*>.*?</ul\\s*>')) AS b FROM pages), i AS (SELECT page_id, list_transform(regexp_extract_all(b, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1), lambda x: '- ' || trim(x)) AS items FROM u) SELECT page_id, chr(10) || chr(10) || array_to_string(items, chr(10)) || chr(10) || chr(10) AS list FROM i")
@@ -526,7 +532,7 @@ def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_blocks(spark: SparkSession, sf: str) -> DataFrame:
     li = read(spark, sf, "lineitem").where("l_orderkey % 50 < 5")
-    row = F.array(F.col("l_partkey").cast("string"), F.concat(F.lit("a|b, "), "l_returnflag"), F.when(F.col("l_linenumber") % 2 == 0, F.lit('q"q')).otherwise("l_linestatus"))
+    row = F.array(F.col("l_partkey").cast("string"), F.concat(F.lit("a|b, "), "l_returnflag"), F.when(F.col("l_linenumber") % 2 == 0, F.lit('q"q')).otherwise(F.col("l_linestatus")))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))), lambda x: x["r"])
     head = F.array(F.lit("part"), F.lit("flag"), F.lit("status"))
     return li.groupBy("l_orderkey").agg(rows.alias("rows")).select("l_orderkey", F.array(blocks.block("heading", level=9, text=F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"))), blocks.block("table", head=head, rows=F.col("rows"))).alias("b"))
@@ -545,6 +551,46 @@ def doc_render_pipe(spark: SparkSession, sf: str) -> DataFrame:
     return order_blocks(spark, sf).select("l_orderkey", blocks.render(F.col("b"), mode="preserve").alias("markdown"))
 
 
+# Pipeline and formats
+
+
+@query()
+def reduce_logs(spark: SparkSession, sf: str) -> DataFrame:
+    return pipeline.reduce_corpus(log_artifacts(spark, sf, 1500)).drop("text", "original")
+
+
+@query()
+def reduce_pages(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("artifact_id"), F.col("html").alias("text"), F.lit(4000).alias("budget"))
+    return pipeline.reduce_corpus(pages).drop("text", "original")
+
+
+MAGIC = {"pdf": "255044462D312E37", "png": "89504E470D0A1A0A", "jpg": "FFD8FFE0", "gif": "474946383961", "webp": "52494646000000005745425000", "bmp": "424D0000", "tif": "49492A00", "office": "D0CF11E0A1B11AE1", "zip": "504B0304", "binary": "410042", "text": "68656C6C6F"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{k}')" for k, v in MAGIC.items()) + ") t(bytes, format)")
+def magic_format(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in MAGIC.values()], "bytes string").select("bytes", formats.magic_format(F.unhex("bytes")).alias("format"))
+
+
+@query("SELECT CAST(range AS BIGINT) AS n, CASE WHEN range > 60 THEN strftime(DATE '1970-01-01' + CAST(range - 25569 AS INT), '%Y-%m-%d') END AS day FROM range(0, 60000, 7)")
+def excel_serial_date(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(0, 60000, 7).select(F.col("id").alias("n"), formats.serial_date(F.col("id").cast("double")).alias("day"))
+
+
+@query("SELECT c AS ref, CAST(CASE len(c) WHEN 1 THEN ascii(c) - 65 ELSE (ascii(c) - 64) * 26 + ascii(c[2]) - 65 END AS INT) AS col FROM (SELECT chr(CAST(65 + a AS INT)) AS c FROM range(26) x(a) UNION ALL SELECT chr(CAST(65 + a AS INT)) || chr(CAST(65 + b AS INT)) FROM range(26) x(a), range(26) y(b))")
+def excel_column_index(spark: SparkSession, sf: str) -> DataFrame:
+    one = spark.range(26).select(F.char(F.col("id") + 65).alias("ref"))
+    two = spark.range(676).select(F.concat(F.char(F.floor(F.col("id") / 26) + 65), F.char(F.col("id") % 26 + 65)).alias("ref"))
+    return one.union(two).select("ref", formats.column_index(F.col("ref")).alias("col"))
+
+
+@query()
+def ingest_fixtures(spark: SparkSession, sf: str) -> DataFrame:
+    files = spark.createDataFrame(formats.fixtures(), "name string, content binary")
+    return formats.ingest(files).select("name", "kind", "ok", "reason", F.size("blocks").alias("n_blocks"), blocks.render(F.col("blocks")).alias("markdown"))
+
+
 # Store
 
 
@@ -563,7 +609,7 @@ def doc_store(spark: SparkSession, sf: str) -> DataFrame:
 def store_put(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents")
     old = store.put(None, d.where("doc_id % 3 = 0"))
-    return store.put(old, d.where("doc_id % 3 <> 0")).select("id", "chars")
+    return store.put(old, d.where("doc_id % 3 <> 0")).select("id", F.col("chars").cast("long"))
 
 
 @query("SELECT left(sha256(text), 16) AS id, array_to_string(regexp_split_to_array(text, '\\r?\\n')[2:4], chr(10)) AS slice FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)")
