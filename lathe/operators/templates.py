@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, columnar, masking, text
+from ..functions.html import let
 
 MIN_USES = 3
 MAX_TEMPLATES = 500
@@ -91,9 +92,10 @@ def expand_columns(forms: DataFrame) -> DataFrame:
     own = rows.where(F.col("row").startswith("V")).select("artifact_id", F.substring(F.get("f", F.lit(0)), F.lit(2), F.lit(18)).cast("long").alias("line_no"), F.array_join(F.slice("f", F.lit(2), F.size("f")), FIELD).alias("line"))
     t = rows.where(F.col("row").startswith("T")).withColumn("id", F.substring(F.get("f", F.lit(0)), F.lit(2), F.lit(18))).join(heads, ["artifact_id", "id"])
     decoded = F.transform(F.slice("f", F.lit(3), F.size("f") - 2), lambda x: columnar.decode_column(F.substring_index(x, ":", 1), F.regexp_replace(x, "(?s)^[a-z]+:", "")))
-    t = t.withColumn("cols", decoded).select("artifact_id", "template", "cols", F.posexplode(F.get("cols", F.lit(0))).alias("i", "line_no"))
-    values = F.transform(F.slice("cols", F.lit(2), F.size("cols")), lambda c: F.get(c, F.col("i")))
-    return t.select("artifact_id", F.col("line_no").cast("long").alias("line_no"), masking.unmask(F.col("template"), values).alias("line")).union(own)
+    # Columns are decoded once an artifact and format, and turned into rows before they are exploded.
+    turned = let(decoded, lambda c: F.transform(F.get(c, F.lit(0)), lambda at, i: F.struct(at.alias("line_no"), F.transform(F.slice(c, F.lit(2), F.size(c)), lambda v: F.get(v, i)).alias("values"))))
+    t = t.select("artifact_id", "template", F.inline(turned))
+    return t.select("artifact_id", F.col("line_no").cast("long").alias("line_no"), masking.unmask(F.col("template"), F.col("values")).alias("line")).union(own)
 
 
 def expand_rows(forms: DataFrame) -> DataFrame:
