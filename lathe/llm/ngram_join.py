@@ -123,8 +123,8 @@ def bands(h: np.ndarray, n: int) -> list[int] | None:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parities of the number of shingles in 256 buckets."""
-    return np.packbits(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).tobytes()
+    """Parities of the number of shingles in 512 buckets."""
+    return np.packbits(np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes()
 
 
 def least_shared(n: np.ndarray | int, s: Settings):
@@ -268,7 +268,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
         sizes = np.diff(np.r_[starts, len(t)])
         mixed_lists = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
         left = n - pos
-        bits = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(-1, 4)
+        bits = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(-1, 8)
         out = []
         for x, y in list_pairs(starts[mixed_lists], sizes[mixed_lists]):
             need = np.minimum(ell[x], ell[y])
