@@ -107,7 +107,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, min_w
     cut = runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("lathe_cut")).select(F.col("d_id").alias("lathe_id"), F.col("d_h").alias("lathe_h"), "lathe_cut")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     own = docs.select(*keep).withColumn("lathe_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("lathe_x", F.xxhash64("text"))
-    own = own.join(cut, (F.col("lathe_d") == F.col("lathe_id")) & (F.col("lathe_x") == F.col("lathe_h")), "left")
+    # A merge join at every size: a broadcast for small inputs only would hide what the texts' exchange costs.
+    own = own.join(cut.hint("merge"), (F.col("lathe_d") == F.col("lathe_id")) & (F.col("lathe_x") == F.col("lathe_h")), "left")
     lines = F.split("text", "\n", -1)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     removed = F.aggregate("lathe_cut", F.lit(0), lambda s, x: s + x["stop"] - x["first"])
