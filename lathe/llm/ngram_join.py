@@ -114,6 +114,11 @@ class Shingler:
         return mixed(h + np.uint64(len(w)))
 
 
+def named(h: np.ndarray) -> np.ndarray:
+    """A set's name, two numbers."""
+    return np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def bands(h: np.ndarray, n: int) -> list[int] | None:
     """For each band the two least hashes under two orders, as one number; alike in two sets with the square of their similarity."""
     if not len(h):
@@ -190,7 +195,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
             rows, some = [], []
             for doc_id, h in zip(b["doc_id"], shingle.sets(b["text"]), strict=True):
                 some.append(h)
-                d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
+                d = named(h)
                 rows.append((doc_id, len(h), d[0], d[1], bands(h, s.bands), bitmap(h), None, None))
             at, k = np.unique(counter_of(np.concatenate(some), s), return_counts=True)
             counts[at] += k.astype(np.int32)
@@ -223,39 +228,42 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
         shingle, (excess, level), seen = Shingler(s.words), shared.value, set()
         for b in batches:
             out = []
-            for doc_id, h in zip(b["doc_id"], shingle.sets(b["text"]), strict=True):
-                own = hashlib.blake2b(h.tobytes(), digest_size=12).digest()
-                if not len(h) or own in seen:  # one of each set a task; the others follow by their set
+            for h in shingle.sets(b["text"]):
+                own = tuple(named(h).tolist())
+                if not len(h) or own in seen:
                     continue
                 seen.add(own)
                 p, ell = ordered_prefix(h, excess, level, s)
-                out.append((p.view(np.int64), doc_id, len(h), ell))
+                out.append((p.view(np.int64), own[0], len(h), ell))
             if out:
                 k = [len(o[0]) for o in out]
-                yield pd.DataFrame({"tok": np.concatenate([o[0] for o in out]), "doc": np.repeat(np.array([o[1] for o in out], np.int64), k), "n": np.repeat(np.array([o[2] for o in out], np.int32), k), "pos": np.concatenate([np.arange(j, dtype=np.int32) for j in k]), "ell": np.repeat(np.array([o[3] for o in out], np.int32), k)})
+                yield pd.DataFrame({"tok": np.concatenate([o[0] for o in out]), "s1": np.repeat(np.array([o[1] for o in out], np.int64), k), "n": np.repeat(np.array([o[2] for o in out], np.int32), k), "pos": np.concatenate([np.arange(j, dtype=np.int32) for j in k]), "ell": np.repeat(np.array([o[3] for o in out], np.int32), k)})
 
     def alive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = whole(batches)
         if part is None:
             return
-        part = part.sort_values(["tok", "n", "doc"], ignore_index=True)
+        # One entry a set, whichever tasks met copies of it; a token that only copies of one set have joins nothing.
+        part = part.sort_values(["tok", "n", "s1", "pos"], ignore_index=True).drop_duplicates(["tok", "s1", "n", "pos"], ignore_index=True)
         t = part["tok"].to_numpy()
         same = t[1:] == t[:-1]
-        keep = np.r_[False, same] | np.r_[same, False] if len(t) else np.zeros(0, bool)
-        yield part[keep]
+        yield part[np.r_[False, same] | np.r_[same, False]]
 
-    posting = "tok long, doc long, n int, pos int, ell int"
+    posting = "tok long, s1 long, n int, pos int, ell int"
     live = scratch.put(text.where(F.col("doc_id").isNotNull()).mapInPandas(index, posting).repartition(n_parts, "tok").mapInPandas(alive, posting))
 
-    # Stars of documents that look alike: each to the smallest id with the same least hashes in a band.
-    alike = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).select("doc_id", F.posexplode("bands").alias("band", "key"))
-    head = scratch.put(alike.groupBy("band", "key").agg(F.min("doc_id").alias("x"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    first = scratch.put(alike.join(head, ["band", "key"]).select("x", F.col("doc_id").alias("y")).where("x <> y").distinct())
+    # Documents with one set are one node, named by its smallest id.
+    alone = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    sets = scratch.put(alone.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("k"), F.max("n").cast("int").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    # Stars of nodes that look alike: each to the smallest id with the same least hashes in a band.
+    alike = sets.select("node", F.posexplode("bands").alias("band", "key"))
+    head = scratch.put(alike.groupBy("band", "key").agg(F.min("node").alias("x"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    first = scratch.put(alike.join(head, ["band", "key"]).select("x", F.col("node").alias("y")).where("x <> y").distinct())
     links = verified(spark, text, first, scratch, s)
     near = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    known = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("doc_id", "n").agg(F.first("bits").alias("bits"))
-    known = scratch.put(known.join(near, known["doc_id"] == near["id"], "left").select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.coalesce("component", "doc_id").alias("comp"), "bits"))
-    labelled = live.join(known, ["doc", "n"])
+    known = scratch.put(sets.join(near, sets["node"] == near["id"], "left").select("s1", "n", F.col("node").alias("doc"), F.coalesce("component", "node").alias("comp"), "bits"))
+    # Two sets with one s1 and size, if they ever meet, label each other's entries too: more to verify, nothing lost.
+    labelled = live.join(known, ["s1", "n"])
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of a list in different components that size and position allow, within the shorter of both prefixes."""
@@ -289,9 +297,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
     second = labelled.repartition(n_parts, "tok").mapInPandas(across, "x long, y long, need long, k long")
     second = scratch.put(second.groupBy("x", "y").agg(F.min("need").alias("need"), F.sum("k").alias("k")).where("k >= need").select("x", "y"))
     links = links.union(verified(spark, text, second, scratch, s))
-    # Documents with one set are one node, named by its smallest id.
-    sets = scratch.put(sizes.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("k")))
-    twins = scratch.put(sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(sets.where("k > 1 and node is not null"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    twins = scratch.put(alone.select("doc_id", "s1", "s2").join(sets.where("k > 1").select("s1", "s2", "node"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b"))
     comps = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(twins), scratch)
     out = sizes.where(F.col("doc_id").isNotNull()).join(comps, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.union(sizes.where(F.col("doc_id").isNull()).select("doc_id", "n", F.lit(None).cast("long")))
