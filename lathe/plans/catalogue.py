@@ -531,7 +531,7 @@ def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    li = read(spark, sf, "lineitem").where("l_orderkey % 50 < 5")
+    li = read(spark, sf, "lineitem")
     row = F.array(F.col("l_partkey").cast("string"), F.concat(F.lit("a|b, "), "l_returnflag"), F.when(F.col("l_linenumber") % 2 == 0, F.lit('q"q')).otherwise(F.col("l_linestatus")))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))), lambda x: x["r"])
     head = F.array(F.lit("part"), F.lit("flag"), F.lit("status"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lathe.functions import blocks, cells, columnar, html, masking
 from lathe.functions import text as T
 from lathe.operators import pipeline, reduce, store, tables, templates
+from lathe.plans import catalogue
 from lathe.sources import formats
 from lathe.streaming import logs
 
@@ -141,6 +142,15 @@ def test_html_and_blocks(spark):
         blocks.block("other")
 
 
+def test_doc_render_takes_every_order(spark, tmp_path):
+    rows = [(o, n, 10 * o + n, "N", "O") for o in range(100) for n in (2, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    dense = {r.l_orderkey: r.markdown for r in catalogue.doc_render_dense(spark, str(tmp_path)).collect()}
+    pipe = {r.l_orderkey: r.markdown for r in catalogue.doc_render_pipe(spark, str(tmp_path)).collect()}
+    assert dense == {o: f'###### Order {o}\n\npart,flag,status\n{10 * o + 1},"a|b, N",O\n{10 * o + 2},"a|b, N","q""q"' for o in range(100)}
+    assert pipe == {o: f'###### Order {o}\n\n| part | flag | status |\n| --- | --- | --- |\n| {10 * o + 1} | a\\|b, N | O |\n| {10 * o + 2} | a\\|b, N | q"q |' for o in range(100)}
+
+
 def test_formats(spark):
     files = spark.createDataFrame(formats.fixtures(), "name string, content binary")
     got = {r.name: r for r in formats.ingest(files).withColumn("md", blocks.render(F.col("blocks"))).collect()}
