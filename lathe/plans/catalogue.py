@@ -624,8 +624,8 @@ def store_grep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH s AS (SELECT left(sha256(text), 16) AS id, min(doc_id) AS d FROM documents WHERE text IS NOT NULL GROUP BY text), f AS (SELECT id, d FROM s WHERE d >= 600 - 168 AND d <= 600) SELECT id FROM f ORDER BY d DESC, id LIMIT 50")
 def store_prune(spark: SparkSession, sf: str) -> DataFrame:
-    own = doc_store(spark, sf).where(F.col("stored_at") <= F.timestamp_seconds(F.lit(600 * 3600)))
-    return store.prune(own, 50, 7, F.timestamp_seconds(F.lit(600 * 3600))).select("id")
+    own = doc_store(spark, sf)
+    return store.prune(own, 50, 7, own.agg(F.max("stored_at")).scalar()).select("id")
 
 
 @query("SELECT count(*) AS entries, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)")

@@ -1,5 +1,6 @@
 """The engine's own operators: round trips, refusals and needles on small fixtures."""
 
+import hashlib
 import json
 import random
 
@@ -174,6 +175,19 @@ def test_store(spark):
     assert store.slice_lines(store.get(s, one), 2, 1).first()["slice"] == "b ERROR" and store.has(s, one).first()[0] and store.prune(s, 1).count() == 1
 
 
+def test_store_prune_takes_the_newest(spark, tmp_path):
+    texts = [(i, f"text {i}") for i in range(900)] + [(900, "text 0"), (901, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(values(catalogue.store_prune(spark, str(tmp_path)), "id"))
+    assert got == sorted(hashlib.sha256(f"text {i}".encode()).hexdigest()[:16] for i in range(850, 900))
+
+
+def test_store_prune_of_an_aged_store(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}") for i in (0, 831, 832, 1000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(values(catalogue.store_prune(spark, str(tmp_path)), "id"))
+    assert got == sorted(hashlib.sha256(f"text {i}".encode()).hexdigest()[:16] for i in (832, 1000))
+
+
 def test_tests_reducer(spark):
     text = "ok 1 - a\n# Subtest: fails\nnot ok 2 - b\n  detail\n\n  more\nok 3 - c\nerror: odd\n# tests 3\n# fail 1"
     out = reduce.shrink_tests(artifacts(spark, [(1, text, 4000)])).first()["reduced"]
