@@ -60,7 +60,8 @@ RULES = [
     ("CC-BY-SA-4.0", r"CcBySa "),
     ("CC-BY-4.0", r"CcBy "),
 ]
-#: A sentence ends at a line end, or at a full stop, question or exclamation mark before white space.
+#: Where `oracle` ends a sentence: at a line end, or at a full stop, question or exclamation mark before white space.
+#: `scan` lets a known sentence run over single line ends.
 BREAK = r"[\r\n]+|[.!?]+[ \t]+"
 #: Sentences without one of these words are known to be none of the above.
 TRIGGER = r"licen[sc]e|permi(ssion|tted)|copyright|copies|warranty|redistribut|endorse|liable|mozilla|mpl |rights reserved|without modification"
@@ -71,18 +72,33 @@ def normalised(s: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower({s}), '[^a-z0-9.]+', ' ', 'g'), '[.]+( |$)', ' ', 'g'))"
 
 
+def marked(text: Column) -> Column:
+    """A text normalised like a sentence, with | where a sentence must end (full stop, question or exclamation mark
+    before white space, blank line) and a line feed where it may (line end, semicolon). Comment and quote marks at a
+    line's beginning become blanks, so that a line of nothing else is a blank line."""
+    t = F.regexp_replace(F.translate(F.lower(text), "|", " "), r"[.!?]+(?=[ \t\r\n]|\z)", "|")
+    t = F.regexp_replace(t, r";[ \t]+(?=[^ \t\r\n])", "\n")
+    t = F.regexp_replace(t, r"[^a-z0-9.|\r\n]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"[.]+(?=[ |\r\n]|\z)", " "), "  +", " ")
+    t = F.regexp_replace(t, r" *(?:\r\n|\r|\n) *", "\n")
+    return F.trim(F.regexp_replace(t, r"[ \n]*\|[ \n|]*|\n{2,}", "|"))
+
+
+def known_sentence() -> str:
+    """A pattern for any known sentence in a marked text, from a line's or sentence's beginning to the first end of either that completes it."""
+    any_of = "|".join(f"(?:{p})" for _, p in SENTENCES)
+    return rf"(?<![^|\n])(?:{any_of.replace('.*', '[^|]*?').replace(' ', f'[ {chr(92)}n]')})(?![^|\n])"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids and licenses (comma-joined, in the rules' order, each once).
 
+    A known sentence may be wrapped over several lines, each with a comment or quote prefix, or be a line by itself.
     Works on whole texts, row by row, without a shuffle. Null and empty texts have none; null and repeated ids are
     carried as they are; what no rule matches is left out of licenses but stays in sentence_ids. Other columns are
     not looked at, and an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts = F.filter(F.split(text, BREAK), lambda s: F.lower(s).rlike(TRIGGER))
-
-    def norm(s: Column) -> Column:
-        return F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9.]+", " "), "[.]+( |$)", " "))
 
     def name(s: Column) -> Column:
         out = None
@@ -91,7 +107,8 @@ def scan(docs: DataFrame) -> DataFrame:
             out = F.when(hit, ident) if out is None else out.when(hit, ident)
         return out
 
-    ids = F.filter(F.transform(F.transform(parts, norm), name), lambda x: x.isNotNull())
+    known = F.regexp_extract_all(marked(text), F.lit(known_sentence()), F.lit(0))
+    ids = F.filter(F.transform(known, lambda s: name(F.translate(s, "\n", " "))), lambda x: x.isNotNull())
     out = docs.select(F.col("doc_id").cast("long"), F.when(F.lower(text).rlike(TRIGGER), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     out = out.withColumn("sentence_ids", F.array_join("ids", ","))
     left = F.concat(F.array_join("ids", " "), F.lit(" "))
@@ -107,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same scan in DuckDB's SQL."""
+    """The scan in DuckDB's SQL, but for sentences that are wrapped or end at a semicolon: it ends each at the line's end."""
     case = " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{n}'" for n, p in SENTENCES)
     parts = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{BREAK}'), lambda s: regexp_matches(lower(s), '{TRIGGER}'))"
     steps, left = [], "array_to_string(ids, ' ') || ' '"

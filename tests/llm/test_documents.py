@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 
 import pytest
 from tokenizers import Tokenizer
@@ -325,3 +326,55 @@ def test_licences(spark):
     assert len(got) == len(rows)
     assert {r.doc_id: r.licenses for r in got if r.licenses} == {5: "Apache-2.0", 6: "MIT,GPL-3.0", 7: "MIT"}
     assert licenses.scan(docs(spark, [])).count() == 0
+
+
+MIT = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.",
+]
+BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+APACHE = [
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+]
+GPL = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "You should have received a copy of the GNU General Public License along with this program.",
+]
+WRAPPED = {
+    "MIT": (MIT, "MitGrant,MitNotice,AsIs,NoLiability"),
+    "BSD-3-Clause": (BSD, "BsdGrant,BsdSource,BsdBinary,BsdEndorse"),
+    "Apache-2.0": (APACHE, "ApacheRef,ApacheUse,ApacheCopy,ApacheAsIs,ApacheSee"),
+    "GPL-3.0": (GPL, "GplFree3,GplWarranty,GplCopy"),
+}
+
+
+def test_licences_of_wrapped_texts(spark):
+    rows, want = [], {}
+    for (name, (parts, ids)), width, mark, end in itertools.product(WRAPPED.items(), (30, 55, 72, 1000), ("", "# ", " * ", "// ", "> "), ("\n", "\r\n")):
+        lines = [line for p in parts for line in [*textwrap.wrap(p, width, break_on_hyphens=False), ""]]
+        rows.append((len(rows), end.join(["some prose before it", "", *((mark + x).rstrip() for x in lines), "and after"])))
+        want[rows[-1][0]] = (name, ids)
+    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_licences_on_a_line_in_prose(spark):
+    rows = [
+        (1, "a text that goes on\nReleased under the MIT License\nand on without a stop"),
+        (2, "# Licensed under the GNU General Public\n# License,\n# version 3"),
+        (3, "was Released under\n\nthe MIT License"),
+        (4, "this is not released under the MIT License\nor so"),
+        (6, '(Licensed under the "MIT License".)\nx'),
+        (5, "All rights reserved\nLicensed under the BSD license\nAll rights reserved"),
+    ]
+    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == {1: ("MIT", "MitRef"), 2: ("GPL-3.0", "GplRef3"), 3: ("", ""), 4: ("", ""), 6: ("MIT", "MitRef"), 5: ("BSD", "AllRights,BsdRef,AllRights")}
