@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from ._common import Scratch, segments, whole
 from .embedding_dedup import usable
 
+#: Squared distances that differ by less count as equal: copies are not to be lost by rounding.
+ROUNDING = 1e-9
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -105,13 +108,13 @@ def scan(q: np.ndarray, base: np.ndarray, limit: float, k: int, s: Settings) ->
             first = at[np.argpartition(part, k - 1)[:k]]
             full = base[first] - q
             limit = min(limit, float((full * full).sum(1).max()))
-        alive = part * (d / c) <= limit * (1 + s.epsilon / np.sqrt(c)) ** 2
+        alive = part * (d / c) <= limit * (1 + s.epsilon / np.sqrt(c)) ** 2 + ROUNDING
         at, part = at[alive], part[alive]
         if not len(at):
             return at
     if len(at) > k:
         limit = min(limit, float(np.partition(part, k - 1)[k - 1]))
-    return at[part <= limit + 1e-9]
+    return at[part <= limit + ROUNDING]
 
 
 def search(spark: SparkSession, vectors: DataFrame, queries: F.Column, scratch: Scratch, s: Settings | None = None) -> DataFrame:
@@ -195,7 +198,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: F.Column, scratch:
             for i in range(mid - a, z - a):
                 q = int(ids[a + i])
                 known = best.setdefault(q, [])
-                limit = 2 + 2 * known[-1][0] if len(known) >= s.k else 5.0
+                limit = max(0.0, 2 + 2 * known[-1][0]) if len(known) >= s.k else 5.0
                 got = scan(turned[i], turned[: mid - a], limit, s.k + 1, s)
                 got = got[ids[a + got] != q]
                 with np.errstate(all="ignore"):

@@ -96,3 +96,23 @@ def test_nearest_odd_rows_and_ties(spark):
     got = ann.search(spark, vectors(spark, rows), F.col("vec_id") % 50 == 0, Scratch(spark, "t")).collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 3, 1.0), (0, 2, 4, 1.0), (0, 3, 8, 0.0)]
     assert ann.search(spark, vectors(spark, []), F.col("vec_id") % 50 == 0, Scratch(spark, "t")).count() == 0
+
+
+def test_nearest_copies_over_several_blocks(spark):
+    # Copies in many blocks of one list: whichever block comes first, the smaller ids are the nearest.
+    rng = np.random.default_rng(8)
+    group = [[float(np.float32(x)) for x in rng.standard_normal(64)] for _ in range(6)]
+    rows = [(i, group[i % 6], 1) for i in range(600)]
+    rows += [(i, [float(np.float32(x)) for x in rng.standard_normal(64)], 1) for i in range(600, 900)]
+    got = ann.search(spark, vectors(spark, rows).repartition(3), (F.col("vec_id") % 50 == 0) & (F.col("vec_id") < 600), Scratch(spark, "t"), ann.Settings(block=20, max_lists=1)).collect()
+    for q in range(0, 600, 50):
+        own = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert own == [i for i in range(q % 6, 600, 6) if i != q][:5]
+
+
+def test_scan_keeps_copies_at_the_limit():
+    rng = np.random.default_rng(9)
+    v = ann.unit(rng.standard_normal((200, 64)))
+    for x in v:
+        for limit in (0.0, 5.0):
+            assert len(ann.scan(x, np.tile(x, (40, 1)) * (1 + 1e-16 * rng.integers(-3, 4, (40, 1))), limit, 6, ann.Settings())) == 40
