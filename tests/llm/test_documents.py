@@ -378,3 +378,14 @@ def test_licences_on_a_line_in_prose(spark):
     ]
     got = {r.doc_id: (r.licenses, r.sentence_ids) for r in licenses.scan(docs(spark, rows)).collect()}
     assert got == {1: ("MIT", "MitRef"), 2: ("GPL-3.0", "GplRef3"), 3: ("", ""), 4: ("", ""), 6: ("MIT", "MitRef"), 5: ("BSD", "AllRights,BsdRef,AllRights")}
+
+
+def test_licence_sentences_need_no_other_word(spark):
+    rows = [
+        (1, "This software is provided by the author as is and any express or implied warranties are disclaimed."),
+        (2, "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."),
+        (3, "All rights\treserved."),
+        (4, "All  rights\n * reserved."),
+    ]
+    got = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licenses) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == {1: (1, "BsdAsIs", ""), 2: (1, "BsdAsIs", ""), 3: (1, "AllRights", ""), 4: (1, "AllRights", "")}
