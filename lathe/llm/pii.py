@@ -1,7 +1,7 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM learns how far to trust each, a classifier decides.
 
-Base spans follow fixed patterns and checks and always stay. Further candidates (long mixed tokens, long numbers) get
-votes from a pattern, a gazetteer, a context, a variety and a checksum labeler. Votes and two coarse features make a
+Base spans follow fixed patterns and checks and always stay. Further candidates (long mixed tokens, long numbers, any
+token or number that an announcing word leads to) get votes from a pattern, a gazetteer, a context, a variety and a checksum labeler. Votes and two coarse features make a
 cell; the corpus is counted by cell, so that expectation-maximisation and the classifier see every candidate of every
 document through a table of bounded size.
 """
@@ -36,6 +36,9 @@ ANNOUNCE = {
     "secret": {"token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "bearer", "auth", "credential", "credentials", "contraseña", "passwort", "schlüssel", "clé"},
     "account": {"account", "acct", "iban", "card", "konto", "kontonummer", "cuenta", "compte", "passport", "ssn", "customer", "kunde", "client", "cliente"},
 }
+#: The end of what stands before a value: a word, = or : (for numbers a blank may do), an opening quote.
+LEAD = re.compile(r"([^\W\d_]+)[\"'`]?[ \t]*([=:]?)[ \t]*[\"'`]?\Z")
+VALUE = re.compile(r"[=:][ \t]*[\"'`]?([^\s\"'`,;]+)")
 VOTES = 5
 NEAR = 32
 
@@ -126,10 +129,22 @@ def parts(c: int) -> tuple[int, list[int], int]:
     return c, vote[::-1], size
 
 
+def announced(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, kind, end) of tokens after a word for a credential and = or :, and of numbers after a word for an account."""
+    for kind, found in ((4, VALUE.finditer(text)), (5, CARD.finditer(text))):
+        for m in found:
+            a, b = m.span(1) if kind == 4 else m.span()
+            lead = LEAD.search(text, max(0, a - NEAR), a)
+            if lead and (kind == 5 or lead[2]) and lead[1].lower() in ANNOUNCE[KINDS[kind]] and (value := text[a:b].rstrip(".:!?)]}>")):
+                yield a, kind, a + len(value)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]], numbers: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, cell) of what the labelers are asked about: outside base spans, outside each other."""
     found = [(m.start(), 4, m.end()) for m in MIXED.finditer(text) if any(c.isdigit() for c in m[0])]
     found += [(a, 5, b) for a, b in numbers]
+    known = {a for a, _, _ in found}
+    found += [x for x in announced(text) if x[0] not in known]
     out: list[tuple[int, int, int, int]] = []
     taken = sorted((a, b) for a, _, b in base)
     done, i, reach = 0, 0, 0

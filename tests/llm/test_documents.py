@@ -310,6 +310,23 @@ def test_personal_data_learns_secrets(spark):
     assert all(("secret" in got[i]) == bool(i % 2) for i, _ in rows)
 
 
+def test_personal_data_asks_about_short_announced_values():
+    def asked(text):
+        base, numbers = pii.base_spans(text)
+        return [(pii.KINDS[k], text[a:b]) for a, k, b, _ in pii.candidates(text, base, numbers)]
+
+    assert asked("password: hunter2 and pwd=Tr0ub4dor&3, see (api_key='x9').") == [("secret", "hunter2"), ("secret", "Tr0ub4dor&3"), ("secret", "x9")]
+    assert asked("account 12345678, konto: 1234-5678") == [("account", "12345678"), ("account", "1234-5678")]
+    assert asked("word: hunter2, order 12345678, client 10.0.0.1, time 10:30, password hunter2") == []
+
+
+def test_personal_data_learns_short_secrets(spark):
+    rng = random.Random(7)
+    rows = [(i, f"some text password: {rng.choice('abcdefgh')}{rng.choice('XYZ')}w{rng.randrange(100, 999)}kq more" if i % 2 else f"path/aaaaaaaaaaaaaaaa1 order {rng.randrange(10**9, 10**10)} x") for i in range(200)]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark, docs(spark, rows), Scratch(spark, "t")).collect()}
+    assert all(("secret:20:28" in got[i]) == bool(i % 2) for i, _ in rows)
+
+
 def test_personal_data_odd_rows(spark):
     got = pii.find_personal_data(spark, docs(spark, ODD), Scratch(spark, "t")).collect()
     assert len(got) == len(ODD) and all(r.spans == "" and r.n_spans == 0 for r in got)
