@@ -1,9 +1,9 @@
 """BPE encoding and decoding by dynamic programming over prefixes.
 
 For every prefix of a word there is exactly one token that can end its encoding. It is found from the vocabulary
-entries that are suffixes of the prefix (reported by the automaton of suffix links over the vocabulary), as the one
-that is compatible with the last token of the prefix before it. Back-pointers then give the ids. Two tokens are
-compatible if merging would keep the border between them; that is tested by undoing merges, latest first.
+entries that are suffixes of the prefix (the suffix automaton of the vocabulary reports them), as the one that is
+compatible with the last token of the prefix before it. Back-pointers then give the ids. Two tokens are compatible if
+merging would keep the border between them; that is tested by undoing merges, latest first.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,11 +56,84 @@ class Known(dict):
         return got
 
 
+class SuffixAutomaton:
+    """All substrings of a set of strings; reading a text, the strings that end at each position.
+
+    A state stands for substrings that end at the same places; its link leads to the longest of their suffixes that
+    ends at more. Every string of the set is the longest of its own state, as nothing stands before its first character.
+    """
+
+    def __init__(self, entries: dict[str, int]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        names: dict[int, int] = {}
+        for text, name in entries.items():
+            at = 0
+            for ch in text:
+                at = self._extend(at, ch)
+            names[at] = name
+        n = len(self.next)
+        self.name = [names.get(i, -1) for i in range(n)]
+        # The nearest state up the links that is a string of the set; links lead to shorter states.
+        self.up = [-1] * n
+        for i in sorted(range(1, n), key=self.length.__getitem__):
+            link = self.link[i]
+            self.up[i] = link if self.name[link] >= 0 else self.up[link]
+
+    def _extend(self, last: int, ch: str) -> int:
+        """The state of what `last` stands for, followed by `ch`."""
+        nexts, link, length = self.next, self.link, self.length
+        found = nexts[last].get(ch)
+        if found is not None:
+            return found if length[found] == length[last] + 1 else self._split(last, ch, found)
+        new = self._state({}, length[last] + 1, 0)
+        p = last
+        while p >= 0 and ch not in nexts[p]:
+            nexts[p][ch] = new
+            p = link[p]
+        if p >= 0:
+            q = nexts[p][ch]
+            link[new] = q if length[q] == length[p] + 1 else self._split(p, ch, q)
+        return new
+
+    def _state(self, nexts: dict[str, int], length: int, link: int) -> int:
+        self.next.append(nexts)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.next) - 1
+
+    def _split(self, p: int, ch: str, q: int) -> int:
+        """A state of its own for the substrings of q that are no longer than what p and ch give."""
+        new = self._state(self.next[q].copy(), self.length[p] + 1, self.link[q])
+        self.link[q] = new
+        while p >= 0 and self.next[p].get(ch) == q:
+            self.next[p][ch] = new
+            p = self.link[p]
+        return new
+
+    def ends(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(stop, name, length) of every string of the set that ends in `text` before `stop`, by position, longest first."""
+        nexts, link, length, name, up = self.next, self.link, self.length, self.name, self.up
+        state = matched = 0
+        for stop, ch in enumerate(text, 1):
+            while (to := nexts[state].get(ch)) is None and state:
+                state = link[state]
+                matched = length[state]
+            if to is None:
+                continue
+            state = to
+            matched += 1
+            # A state may have been reached by less than its longest substring.
+            u = state if name[state] >= 0 and length[state] <= matched else up[state]
+            while u > 0:
+                yield stop, name[u], length[u]
+                u = up[u]
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizer file whose words carry an end mark. The file's normaliser and splitter are used as they are."""
 
     def __init__(self, spec: str, cache: int = 300_000) -> None:
-        import ahocorasick
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(spec)
@@ -87,11 +160,8 @@ class WordBpe:
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         # In the automaton a word's end mark is one character more, so that entries with it match only there.
         self.mark = "\x00"
-        self.found = ahocorasick.Automaton()
-        for token, i in self.vocab.items():
-            key = token[: -len(self.end)] + self.mark if self.end and token.endswith(self.end) and token != self.end else token
-            self.found.add_word(key, (i, len(key)))
-        self.found.make_automaton()
+        marked = lambda t: t[: -len(self.end)] + self.mark if self.end and t.endswith(self.end) and t != self.end else t
+        self.found = SuffixAutomaton({marked(t): i for t, i in self.vocab.items()})
         self.pairs: dict[int, bool] = {}
         self.odd: set[int] = set()  # entries that don't encode to themselves; parts come before what they make
         for t in sorted(self.vocab.values(), key=lambda t: self.made.get(t, -1)):
@@ -134,8 +204,7 @@ class WordBpe:
         # token[i], size[i]: what ends the encoding of text[:i]. The mark alone is no entry of the vocabulary.
         token, size = [-1] * (n + 1), [0] * (n + 1)
         odd, compatible = self.odd, self.compatible
-        for stop, (t, k) in self.found.iter(text):
-            i = stop + 1
+        for i, t, k in self.found.ends(text):
             if token[i] < 0 and t not in odd and (k == i or (p := token[i - k]) >= 0 and compatible(p, t)):
                 token[i], size[i] = t, k
         out: list[int] = []
@@ -240,33 +309,44 @@ def encoder(spec: str) -> WordBpe:
     return _encoders[key]
 
 
+def _over_texts(docs: DataFrame, spec, make: Callable[[WordBpe, str | None], tuple], columns: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """doc_id and what `make` gives for each text; ids stay in Arrow, so that long ones beside null ones keep their digits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(spec.value)
+        for b in batches:
+            got = [make(own, t) for t in b.column("text").to_pylist()]
+            made = {name: pa.array([g[i] for g in got], kind) for i, (name, kind) in enumerate(columns.items())}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), **made})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
 def encode_documents(spark: SparkSession, docs: DataFrame, *, path: str | None = None, ids: bool = True, decoded: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian 32-bit), decoded, for every row of `docs`; no shuffle.
 
     Null and empty texts have no tokens. Null or repeated ids are carried as they are, a row for a row; an empty
     table gives no rows; other columns are not looked at. `ids` and `decoded` switch off what is not needed.
     """
-    spec = spark.sparkContext.broadcast(vocabulary(path))
+    wanted = {"n_tokens": pa.int64()} | ({"ids": pa.binary()} if ids else {}) | ({"decoded": pa.string()} if decoded else {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(spec.value)
-        for b in batches:
-            got = [own.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) // 4 for x, _ in got], **({"ids": [x for x, _ in got]} if ids else {}), **({"decoded": [y for _, y in got]} if decoded else {})})
+    def make(own: WordBpe, text: str | None) -> tuple:
+        x, y = own.encode(text)
+        return (len(x) // 4, *([x] if ids else []), *([y] if decoded else []))
 
     schema = "doc_id long, n_tokens long" + ", ids binary" * ids + ", decoded string" * decoded
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return _over_texts(docs, spark.sparkContext.broadcast(vocabulary(path)), make, wanted, schema)
 
 
 def digest_documents(spark: SparkSession, docs: DataFrame, *, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of ids and of decoded text; digests are taken in the worker, so texts cross once."""
-    spec = spark.sparkContext.broadcast(vocabulary(path))
+    """doc_id, n_tokens and the SHA-256 of ids and of decoded text; digests are taken in the worker, so texts cross once.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(spec.value)
-        sha = hashlib.sha256
-        for b in batches:
-            got = [(len(x) // 4, sha(x).hexdigest(), sha(y.encode()).hexdigest()) for x, y in map(own.encode, b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [g[0] for g in got], "ids_sha256": [g[1] for g in got], "decoded_sha256": [g[2] for g in got]})
+    Null and empty texts have no tokens and the digests of nothing; else as `encode_documents`.
+    """
+
+    def make(own: WordBpe, text: str | None) -> tuple:
+        x, y = own.encode(text)
+        return len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y.encode()).hexdigest()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    wanted = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return _over_texts(docs, spark.sparkContext.broadcast(vocabulary(path)), make, wanted, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
