@@ -1,9 +1,11 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM learns how far to trust each, a classifier decides.
 
 Base spans follow fixed patterns and checks and always stay. Further candidates (long mixed tokens, long numbers, any
-token or number that an announcing word leads to) get votes from a pattern, a gazetteer, a context, a variety and a checksum labeler. Votes and two coarse features make a
-cell; the corpus is counted by cell, so that expectation-maximisation and the classifier see every candidate of every
-document through a table of bounded size.
+token or number that an announcing word leads to) get votes from a pattern, a gazetteer, a context, a variety and a
+checksum labeler. The corpus is counted by vote pattern, so that expectation-maximisation sees every candidate of every
+document through a table of bounded size. The classifier is taught EM's verdicts, but looks at what no labeler asks
+about: how a span begins, ends and is made up, and what follows it. So it finds the unannounced fellows of announced
+spans, and settles where the labelers abstain or disagree.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,10 @@ LEAD = re.compile(r"([^\W\d_]+)[\"'`]?[ \t]*([=:]?)[ \t]*[\"'`]?\Z")
 VALUE = re.compile(r"[=:][ \t]*[\"'`]?([^\s\"'`,;]+)")
 VOTES = 5
 NEAR = 32
+WORD = re.compile(r"[^\W\d_]+")
+#: What the classifier looks at: so many features a span, hashed into so many weights a kind.
+FEATURES = 10
+WEIGHTS = 1 << 13
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -112,21 +119,43 @@ def votes(kind: str, text: str, start: int, end: int) -> list[int]:
     return [pattern, 1 if ANNOUNCE[kind] & set(words) else 0, context, variety, check]
 
 
-def cell(kind: int, vote: list[int], length: int) -> int:
-    """Kind, votes and a coarse length in one number."""
+def cell(kind: int, vote: list[int]) -> int:
+    """Kind and votes in one number."""
     c = kind
     for v in vote:
         c = c * 3 + v + 1
-    return c * 4 + min(3, max(0, int(math.log2(max(1, length))) - 3))
+    return c
 
 
-def parts(c: int) -> tuple[int, list[int], int]:
-    c, size = divmod(c, 4)
+def parts(c: int) -> tuple[int, list[int]]:
     vote = []
     for _ in range(VOTES):
         c, v = divmod(c, 3)
         vote.append(v - 1)
-    return c, vote[::-1], size
+    return c, vote[::-1]
+
+
+def features(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Hashed features of a span and of what follows it, none of which is a labeler's question."""
+    s = text[start:end]
+    after = text[end : end + NEAR]
+    classes = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in s]
+    runs = [c for c, d in zip(classes, [None, *classes], strict=False) if c != d]
+    follow = WORD.findall(after.lower())
+    share = lambda n: round(4 * n / len(s))
+    own = (
+        "start " + s[:2],
+        "head " + s[:4],
+        "tail " + s[-2:],
+        "runs " + "".join(runs[:6]),
+        f"changes {share(len(runs))}",
+        f"digits {share(classes.count('0'))} capitals {share(classes.count('A'))}",
+        f"vowels {share(sum(c in 'aeiou' for c in s.lower()))}",
+        f"length {len(s).bit_length()}",
+        "next " + (follow[0] if follow else ""),
+        "after " + after[:1],
+    )
+    return [zlib.crc32(f"{kind} {x}".encode("utf-8", "surrogatepass")) % WEIGHTS for x in own]
 
 
 def announced(text: str) -> Iterator[tuple[int, int, int]]:
@@ -139,13 +168,13 @@ def announced(text: str) -> Iterator[tuple[int, int, int]]:
                 yield a, kind, a + len(value)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]], numbers: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, kind, end, cell) of what the labelers are asked about: outside base spans, outside each other."""
+def candidates(text: str, base: list[tuple[int, int, int]], numbers: list[tuple[int, int]]) -> list[tuple[int, ...]]:
+    """(start, kind, end, cell, *features) of what the labelers are asked about: outside base spans, outside each other."""
     found = [(m.start(), 4, m.end()) for m in MIXED.finditer(text) if any(c.isdigit() for c in m[0])]
     found += [(a, 5, b) for a, b in numbers]
     known = {a for a, _, _ in found}
     found += [x for x in announced(text) if x[0] not in known]
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, ...]] = []
     taken = sorted((a, b) for a, _, b in base)
     done, i, reach = 0, 0, 0
     for a, k, b in sorted(found, key=lambda x: (x[0], -x[2], x[1])):
@@ -153,7 +182,7 @@ def candidates(text: str, base: list[tuple[int, int, int]], numbers: list[tuple[
             reach = max(reach, taken[i][1])
             i += 1
         if a >= done and a >= reach:
-            out.append((a, k, b, cell(k, votes(KINDS[k], text, a, b), b - a)))
+            out.append((a, k, b, cell(k, votes(KINDS[k], text, a, b)), *features(KINDS[k], text, a, b)))
             done = b
     return out
 
@@ -184,75 +213,79 @@ def fit_labelers(cells: dict[int, int], rounds: int = 60) -> dict[int, float]:
     return out
 
 
-def train_classifier(cells: dict[int, int], truth: dict[int, float], steps: int = 400) -> dict[int, float]:
-    """Logistic regression from a cell's votes, kind and length to the labelers' verdict, weighted by counts."""
-    own = sorted(cells)
-    if not own:
-        return {}
-
-    def row(c: int) -> np.ndarray:
-        kind, vote, size = parts(c)
-        x = np.zeros(2 * (3 * VOTES + 4) + 2)
-        at = (kind - BASE) * (3 * VOTES + 5)
-        x[at] = 1
-        for j, v in enumerate(vote):
-            x[at + 1 + 3 * j + v + 1] = 1
-        x[at + 1 + 3 * VOTES + size] = 1
-        return x
-
-    x = np.stack([row(c) for c in own])
-    n = np.array([cells[c] for c in own], float)
-    n = n / n.sum()
-    y = np.array([truth.get(c, 0.0) for c in own])
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (n * np.maximum(p * (1 - p), 1e-4))[:, None]) + 1e-4 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (n * (p - y)) + 1e-4 * w)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return dict(zip(own, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+def train_classifier(x: np.ndarray, y: np.ndarray, steps: int = 300, l2: float = 2.0) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic regression from hashed features (a row a span) to EM's verdicts."""
+    n = len(x)
+    w, m, r = (np.zeros(WEIGHTS + 1) for _ in range(3))
+    if not n:
+        return w
+    at = x.ravel()
+    for step in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(w[x].sum(1) + w[-1], -30, 30)))
+        g = np.bincount(at, np.repeat(p - y, x.shape[1]), WEIGHTS + 1)
+        g[-1] = (p - y).sum()
+        g = (g + l2 * w) / n
+        m += 0.1 * (g - m)
+        r += 0.01 * (g * g - r)
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(r / (1 - 0.99**step)) + 1e-9)
+    return w
+
+
+def decided(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The classifier's probability for each row of features."""
+    return 1 / (1 + np.exp(-np.clip(w[x].sum(1) + w[-1], -30, 30)))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def find_personal_data(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, least: float = 0.5) -> DataFrame:
-    """One row per row of `docs`: doc_id, counts by base kind, base (string), spans (string), n_spans.
+def find_personal_data(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, least: float = 0.5, taught: int = 20_000) -> DataFrame:
+    """One row per row of `docs`: doc_id, counts by kind (n_email to n_account), base (string), spans (string), n_spans.
 
     Offsets are code points, ends exclusive; spans are ordered by start, then kind. Null and empty texts have no
     spans. Null and repeated ids are carried as they are, a row for a row; other columns are not looked at. Without
-    candidates nothing is learned and only base spans remain. Texts are read once and never shuffled.
+    candidates nothing is learned and only base spans remain. Texts are read once and never shuffled. EM counts the
+    candidates of all documents; the classifier is taught on at most `taught` of them, the first by a hash.
     """
+    width = 4 + FEATURES
+    counts = [f"n_{k}" for k in KINDS]
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Ids stay in Arrow, so that long ones beside null ones keep their digits.
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                text = text or ""
-                base, numbers = base_spans(text)
-                n = Counter(k for _, k, _ in base)
-                rows.append((doc_id, n[0], n[1], n[2], n[3], [x for s in base for x in s], [x for s in candidates(text, base, numbers) for x in s]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "more"])
-
-    found = scratch.put(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(look, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<int>, more array<int>"))
-    # Cells are a fixed set: kinds x 3^votes x 4 lengths.
-    own_cells = F.explode(F.transform(F.sequence(F.lit(3), F.size("more") - 1, F.lit(4)), lambda i: F.get("more", i)))
-    cells = {r["cell"]: r["n"] for r in found.where(F.size("more") > 0).select(own_cells.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    verdict = train_classifier(cells, fit_labelers(cells))
-    yes = spark.sparkContext.broadcast({c for c, p in verdict.items() if p >= least})
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        good = yes.value
+            all_base, all_more = [], []
+            for text in b.column("text").to_pylist():
+                base, numbers = base_spans(text or "")
+                all_base.append([x for s in base for x in s])
+                all_more.append([x for s in candidates(text or "", base, numbers) for x in s])
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "base": pa.array(all_base, pa.list_(pa.int32())), "more": pa.array(all_more, pa.list_(pa.int32()))})
+
+    found = scratch.put(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look, "doc_id long, base array<int>, more array<int>"))
+    at = F.explode(F.sequence(F.lit(1), F.size("more"), F.lit(width)))
+    asked = found.where(F.size("more") > 0).select("doc_id", "more", at.alias("at")).select("doc_id", F.slice("more", F.col("at"), width).alias("c"))
+    # Cells are a fixed set: kinds x 3^votes.
+    cells = {r["cell"]: r["n"] for r in asked.groupBy(F.col("c")[3].alias("cell")).agg(F.count("*").alias("n")).collect()}
+    truth = fit_labelers(cells)
+    some = [r["c"] for r in asked.orderBy(F.xxhash64("doc_id", F.col("c")[0]), "c").limit(taught).select("c").collect()]
+    x = np.array([c[4:] for c in some], np.int64).reshape(-1, FEATURES)
+    weights = spark.sparkContext.broadcast(train_classifier(x, np.array([truth[c[3]] for c in some])))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
         for b in batches:
-            base = [[tuple(x[i : i + 3]) for i in range(0, len(x), 3)] for x in b["base"]]
-            more = [[tuple(x[i : i + 3]) for i in range(0, len(x), 4) if x[i + 3] in good] for x in b["more"]]
-            spans = [sorted([*x, *y]) for x, y in zip(base, more, strict=True)]
-            yield b.drop(columns=["base", "more"]).assign(base=[joined(x) for x in base], spans=[joined(x) for x in spans], n_spans=[len(x) for x in spans])
-
-    return found.mapInPandas(decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_spans long")
+            rows = []
+            for base, more in zip(b.column("base").to_pylist(), b.column("more").to_pylist(), strict=True):
+                own = [tuple(base[i : i + 3]) for i in range(0, len(base), 3)]
+                more = np.array(more, np.int64).reshape(-1, width)
+                spans = sorted([*own, *map(tuple, more[decided(w, more[:, 4:]) >= least, :3].tolist())]) if len(more) else own
+                n = Counter(k for _, k, _ in spans)
+                rows.append((*(n[k] for k in range(len(KINDS))), joined(own), joined(spans), len(spans)))
+            made = dict(zip([*counts, "base", "spans", "n_spans"], zip(*rows, strict=True), strict=True)) if rows else {}
+            kinds = dict.fromkeys(counts, pa.int64()) | {"base": pa.string(), "spans": pa.string(), "n_spans": pa.int64()}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")} | {name: pa.array(made.get(name, []), kind) for name, kind in kinds.items()})
+
+    return found.mapInArrow(decide, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base string, spans string, n_spans long")
 
 
 def digest(base: str) -> str:
