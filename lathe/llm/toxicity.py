@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,20 +175,21 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, s: Setti
     s = s or Settings()
     shared = spark.sparkContext.broadcast((model, s))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(*shared.value)
         for b in batches:
-            p = score(b["text"])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": p, "predicted": (p >= s.threshold).astype("int32")})
+            p = score(b.column("text").to_pylist())
+            # Ids stay in Arrow, so that long ones beside null ones keep their digits.
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= s.threshold).astype(np.int32))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def scorer(model: Model, s: Settings):
     """Scores of a batch of texts."""
     terms = Terms(s, model.bucket)
 
-    def score(texts: pd.Series) -> np.ndarray:
+    def score(texts: Sequence[str | None]) -> np.ndarray:
         x = np.zeros((len(texts), len(model.w)))
         for i, text in enumerate(texts):
             if c := terms.count(text):
@@ -198,7 +200,11 @@ def scorer(model: Model, s: Settings):
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, s: Settings | None = None) -> DataFrame:
-    """The documents that are not predicted toxic, all their columns and rows; null texts stay unless the base rate rejects them."""
+    """The documents that are not predicted toxic, all their columns and rows.
+
+    Null and empty texts score as the model's constant and stay unless that rejects them. Null and repeated ids and
+    repeated rows are each judged by their text. An empty table gives no rows. No column name clashes.
+    """
     s = s or Settings()
     shared = spark.sparkContext.broadcast((fit(spark, docs, labels, scratch, s), s))
 
