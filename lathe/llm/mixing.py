@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, word_count
+from ._common import Scratch, column, unused, word_count
 
 
 def source_rates(sizes: DataFrame, weights: Sequence[int], percent: int, most: int) -> DataFrame:
@@ -67,11 +67,15 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, weights: Sequence[int] = (5,
 def mix_documents(docs: DataFrame, scratch: Scratch, *, weights: Sequence[int] = (5, 2, 1), percent: int = 150, most: int = 2, seed: str = "mix") -> DataFrame:
     """The mixed corpus itself: every document of `docs`, all its columns, as often as the mix takes it.
 
-    The rate depends on the source alone and the draw on the row alone, so the documents are not shuffled.
+    The rate depends on the source alone and the draw on the row alone, so the documents are not shuffled. Null and
+    empty texts have size 0 and are taken like the others of their source; null sources are one more source, null ids
+    count as empty in the draw, equal rows draw alike. An empty table gives no rows. No column name clashes with what
+    is used inside.
     """
+    p = unused("lathe_", docs)
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    rates = scratch.put(source_rates(sizes, weights, percent, most)).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    u = draw(seed, F.col("doc_id"), F.col("text"))
-    copies = F.floor("__rate") + (u < F.col("__rate") - F.floor("__rate")).cast("long")
-    out = docs.join(rates, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copy", copies.cast("int"))
-    return out.where("__copy > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copy")))).select(*[docs[c] for c in docs.columns])
+    rates = scratch.put(source_rates(sizes, weights, percent, most)).select(F.col("source").alias(f"{p}source"), F.col("rate").alias(f"{p}rate"))
+    rate = F.col(f"{p}rate")
+    copies = F.floor(rate) + (draw(seed, F.col("doc_id"), F.col("text")) < rate - F.floor(rate)).cast("long")
+    out = docs.join(rates, F.col("source").eqNullSafe(F.col(f"{p}source"))).withColumn(f"{p}copies", copies.cast("int")).where(F.col(f"{p}copies") > 0)
+    return out.select(*map(column, docs.columns), F.explode(F.array_repeat(F.lit(1), F.col(f"{p}copies"))).alias(f"{p}copy")).drop(f"{p}copy")
