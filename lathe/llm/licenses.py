@@ -76,7 +76,10 @@ def marked(text: Column) -> Column:
     """A text normalised like a sentence, with | where a sentence must end (full stop, question or exclamation mark
     before white space, blank line) and a line feed where it may (line end, semicolon). Comment and quote marks at a
     line's beginning become blanks, so that a line of nothing else is a blank line."""
-    t = F.regexp_replace(F.translate(F.lower(text), "|", " "), r"[.!?]+(?=[ \t\r\n]|\z)", "|")
+    # The full stop of "v. 2.0" ends no sentence.
+    t = F.regexp_replace(F.translate(F.lower(text), "|", " "), r"\bv[.][^a-z0-9.]+(?=[0-9])", "v ")
+    t = F.regexp_replace(t, r"[.!?]+(?=[ \t\r\n]|\z)", "|")
+    t = F.regexp_replace(t, r"(?<![^\r\n])[ \t]*;+", " ")
     t = F.regexp_replace(t, r";[ \t]+(?=[^ \t\r\n])", "\n")
     t = F.regexp_replace(t, r"[^a-z0-9.|\r\n]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"[.]+(?=[ |\r\n]|\z)", " "), "  +", " ")
@@ -124,7 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The scan in DuckDB's SQL, but for sentences that are wrapped or end at a semicolon (it ends each at the line's end) or hold no TRIGGER."""
+    """The scan in DuckDB's SQL, but for sentences that are wrapped, end at a semicolon or hold "v. 2.0" (it ends each at a line end or full stop) or hold no TRIGGER."""
     case = " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{n}'" for n, p in SENTENCES)
     parts = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{BREAK}'), lambda s: regexp_matches(lower(s), '{TRIGGER}'))"
     steps, left = [], "array_to_string(ids, ' ') || ' '"
