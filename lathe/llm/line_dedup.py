@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, Scratch
+from ._common import WORD, Scratch, column, perhaps_among, unused, word_count
 
 DOC = ["d_id", "d_h"]
 LEAST = -(1 << 63)
+#: Columns that `dedup_lines` adds.
+ADDED = ("n_lines", "n_removed", "n_words", "n_words_left")
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -94,26 +96,51 @@ def later_copies(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_wor
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, min_words: int = 50) -> DataFrame:
-    """`docs` with text shortened, and n_lines and n_removed added: every row comes back, all its other columns kept.
+    """`docs` with text shortened, and n_lines, n_removed (lines), n_words (of the distinct lines that were there) and
+    n_words_left (of the text that remains) added: every row comes back, all its other columns kept.
 
     Lines end at LF and compare as they are. A run of consecutive lines with at least `min_words` words that occurred
     before, in order of (doc_id, line), is deleted; shorter repeats stay, such as a licence line. Blank lines belong
     to runs and hold no words. Null texts stay null with 0 lines; an empty text has one line. Null ids come first.
     Rows that repeat both id and text are one document, and each is treated like it. A text may become empty.
-    Columns of `docs` with the names of the added ones, or starting with "lathe_", are not allowed to clash: the
-    former are replaced, the latter are used for nothing else here.
+    Columns of `docs` with the names of the added ones, in whatever case, are replaced by them; no other name clashes
+    with what is used inside. Only texts that may lose lines are shuffled; a filter of a fixed size
+    finds them, for which `docs` is read twice.
     """
-    runs = later_copies(spark, docs, scratch, min_words)
-    cut = runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("lathe_cut")).select(F.col("d_id").alias("lathe_id"), F.col("d_h").alias("lathe_h"), "lathe_cut")
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    own = docs.select(*keep).withColumn("lathe_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("lathe_x", F.xxhash64("text"))
-    # A merge join at every size: a broadcast for small inputs only would hide what the texts' exchange costs.
-    own = own.join(cut.hint("merge"), (F.col("lathe_d") == F.col("lathe_id")) & (F.col("lathe_x") == F.col("lathe_h")), "left")
+    within = scratch.within("runs")
+    runs = scratch.put(later_copies(spark, docs, within, min_words))
+    within.clear()
+    p = unused("lathe_", docs)
+    cut = runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias(f"{p}cut")).withColumnsRenamed({"d_id": f"{p}id", "d_h": f"{p}h"})
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    own = docs.select(*map(column, keep), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias(f"{p}d"), F.xxhash64("text").alias(f"{p}x"))
+    own, may_lose = perhaps_among(own, F.xxhash64(f"{p}d", f"{p}x"), runs, F.xxhash64(*DOC))
+    hit = own.where(may_lose).join(cut, (F.col(f"{p}d") == F.col(f"{p}id")) & (F.col(f"{p}x") == F.col(f"{p}h")), "left")
+    at = F.col(f"{p}cut")
     lines = F.split("text", "\n", -1)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    removed = F.aggregate("lathe_cut", F.lit(0), lambda s, x: s + x["stop"] - x["first"])
-    starts = F.concat(F.array(F.lit(0)), F.transform("lathe_cut", lambda x: x["stop"]))
-    stops = F.concat(F.transform("lathe_cut", lambda x: x["first"]), F.array(n))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    removed = F.aggregate(at, F.lit(0), lambda s, x: s + x["stop"] - x["first"])
+    starts = F.concat(F.array(F.lit(0)), F.transform(at, lambda x: x["stop"]))
+    stops = F.concat(F.transform(at, lambda x: x["first"]), F.array(F.size(lines)))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda z: F.slice(lines, z["a"] + 1, z["b"] - z["a"])))
-    text = F.when(F.col("text").isNull() | F.col("lathe_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return own.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], n.cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"))
+    # A column of its own, so that the text is put together once for all that is made of it.
+    hit = hit.withColumn(f"{p}text", F.when(at.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    text = F.col(f"{p}text")
+    words = word_count(F.array_join(F.array_distinct(lines), "\n"))
+    cut_rows = hit.select(*[text.alias(c) if c.lower() == "text" else column(c) for c in keep], n, F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), words.alias("n_words"), word_count(text).alias("n_words_left"))
+    same = own.where(~may_lose).select(*map(column, keep), n, F.lit(0).cast("long").alias("n_removed"), words.alias("n_words"), word_count(F.col("text")).alias("n_words_left"))
+    return same.union(cut_rows)
+
+
+def keep_rest(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, min_words: int = 50, most_removed: int = 80) -> DataFrame:
+    """The documents without repeated runs of lines: the columns of `docs`, n_chars following the text.
+
+    A document of whose distinct lines at least `most_removed` percent of the words are gone says little new: it is a
+    copy, or a near-copy of which loose lines are left, and goes as a whole; a text that only repeats itself stays.
+    Null texts and texts without words stay. Else as `dedup_lines`.
+    """
+    # Columns with the names of the added ones are put aside meanwhile.
+    aside = {c: f"{unused('lathe_', docs)}{i}" for i, c in enumerate(docs.columns) if c.lower() in ADDED}
+    out = dedup_lines(spark, docs.select(*[column(c).alias(aside.get(c, c)) for c in docs.columns]), scratch, min_words=min_words)
+    out = out.where((F.col("n_removed") == 0) | (F.col("n_words") == 0) | (100 * F.col("n_words_left") > (100 - most_removed) * F.col("n_words")))
+    return out.select(*[F.length("text").cast(t).alias(c) if c.lower() == "n_chars" else column(aside.get(c, c)).alias(c) for c, t in docs.dtypes])
