@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,12 +104,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def whole(batches: Iterable[pd.DataFrame]) -> pd.DataFrame | None:
-    """One partition as one frame; None if it is empty."""
-    got = [b for b in batches if len(b)]
-    return pd.concat(got, ignore_index=True) if got else None
-
-
 def whole_units(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Tables of whole units from a partition that is sorted by `keys`; no more than a batch and a unit are held."""
     rest = None

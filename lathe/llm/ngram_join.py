@@ -16,17 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, whole
+from ._common import Scratch, perhaps_among, rows_of, unused, whole_units
 from .components import connected_components
 
 
 @dataclass(frozen=True)
 class Settings:
-    """The threshold is `part` / `of`. The sketch has a fixed number of counters; up to `broadcast_ids` ids are
-    broadcast as a filter, more are joined."""
+    """The threshold is `part` / `of`. The sketch has a fixed number of counters. A list of more than `block` sets
+    that share a shingle is split into blocks, and every pair of blocks is a unit of work of its own."""
 
     words: int = 5
     part: int = 80
@@ -35,8 +36,8 @@ class Settings:
     chunks: int = 256
     verify_cost: float = 10.0
     unseen: float = 0.2
-    broadcast_ids: int = 1_000_000
     bands: int = 4
+    block: int = 1000
 
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -182,29 +183,33 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
     A text with fewer words than a shingle has its whole sequence as one; null texts and texts without words have an
     empty set and link with nothing. Rows without id come back with their size and no component. Equal texts
     collapse before the join. Rows that repeat an id share its component. Ties at the threshold link, by integer
-    arithmetic. An empty table gives no rows; other columns are not looked at.
+    arithmetic. An empty table gives no rows; other columns are not looked at. Only the result stays in the scratch.
     """
     s = s or Settings()
+    result, scratch = scratch, scratch.within("join")
     text = docs.select(F.col("doc_id").cast("long"), "text")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts = Shingler(s.words), np.zeros(s.counters, np.int32)
-        cols = ["doc_id", "n", "s1", "s2", "bands", "bits", "chunk", "counts"]
+        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "bands": pa.list_(pa.int64()), "bits": pa.binary(), "chunk": pa.int32(), "counts": pa.binary()}
+
+        def made(rows: int, **own) -> pa.RecordBatch:
+            """A batch of these columns; the others are null."""
+            return pa.RecordBatch.from_pydict({c: own[c] if isinstance(own.get(c), pa.Array) else pa.array(own.get(c, [None] * rows), kind) for c, kind in kinds.items()})
+
         for b in batches:
-            rows, some = [], []
-            for doc_id, h in zip(b["doc_id"], shingle.sets(b["text"]), strict=True):
-                some.append(h)
-                d = named(h)
-                rows.append((doc_id, len(h), d[0], d[1], bands(h, s.bands), bitmap(h), None, None))
-            at, k = np.unique(counter_of(np.concatenate(some), s), return_counts=True)
+            some = shingle.sets(b.column("text").to_pylist())
+            names = np.stack([named(h) for h in some]) if some else np.zeros((0, 2), np.int64)
+            at, k = np.unique(counter_of(np.concatenate([*some, np.zeros(0, np.uint64)]), s), return_counts=True)
             counts[at] += k.astype(np.int32)
-            yield pd.DataFrame(rows, columns=cols).astype({"chunk": "Int32"})
+            # Ids stay in Arrow, so that long ones beside null ones keep their digits.
+            yield made(len(some), doc_id=b.column("doc_id"), n=[len(h) for h in some], s1=names[:, 0], s2=names[:, 1], bands=[bands(h, s.bands) for h in some], bits=[bitmap(h) for h in some])
         size = s.counters // s.chunks
         own = [(c, zlib.compress(counts[c * size : (c + 1) * size].tobytes(), 1)) for c in range(s.chunks) if counts[c * size : (c + 1) * size].any()]
-        yield pd.DataFrame([(None, None, None, None, None, None, c, z) for c, z in own], columns=cols).astype({"doc_id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64", "chunk": "Int32"})
+        yield made(len(own), chunk=[c for c, _ in own], counts=[z for _, z in own])
 
-    measured = scratch.put(text.mapInPandas(measure, "doc_id long, n long, s1 long, s2 long, bands array<long>, bits binary, chunk int, counts binary"))
+    measured = scratch.put(text.mapInArrow(measure, "doc_id long, n long, s1 long, s2 long, bands array<long>, bits binary, chunk int, counts binary"))
     sizes = measured.where(F.col("chunk").isNull()).select("doc_id", "n", "s1", "s2", "bands", "bits")
 
     def add_up(key, parts: pd.DataFrame) -> pd.DataFrame:
@@ -224,11 +229,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
     # The sketch has a fixed size, whatever the corpus.
     shared = spark.sparkContext.broadcast((excess, level))
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, (excess, level), seen = Shingler(s.words), shared.value, set()
         for b in batches:
             out = []
-            for h in shingle.sets(b["text"]):
+            for h in shingle.sets(b.column("text").to_pylist()):
                 own = tuple(named(h).tolist())
                 if not len(h) or own in seen:
                     continue
@@ -237,20 +242,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
                 out.append((p.view(np.int64), own[0], len(h), ell))
             if out:
                 k = [len(o[0]) for o in out]
-                yield pd.DataFrame({"tok": np.concatenate([o[0] for o in out]), "s1": np.repeat(np.array([o[1] for o in out], np.int64), k), "n": np.repeat(np.array([o[2] for o in out], np.int32), k), "pos": np.concatenate([np.arange(j, dtype=np.int32) for j in k]), "ell": np.repeat(np.array([o[3] for o in out], np.int32), k)})
-
-    def alive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = whole(batches)
-        if part is None:
-            return
-        # One entry a set, whichever tasks met copies of it; a token that only copies of one set have joins nothing.
-        part = part.sort_values(["tok", "n", "s1", "pos"], ignore_index=True).drop_duplicates(["tok", "s1", "n", "pos"], ignore_index=True)
-        t = part["tok"].to_numpy()
-        same = t[1:] == t[:-1]
-        yield part[np.r_[False, same] | np.r_[same, False]]
+                each = lambda i, kind: np.repeat(np.array([o[i] for o in out], kind), k)  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"tok": np.concatenate([o[0] for o in out]), "s1": each(1, np.int64), "n": each(2, np.int32), "pos": np.concatenate([np.arange(j, dtype=np.int32) for j in k]), "ell": each(3, np.int32)})
 
-    posting = "tok long, s1 long, n int, pos int, ell int"
-    live = scratch.put(text.where(F.col("doc_id").isNotNull()).mapInPandas(index, posting).repartition(n_parts, "tok").mapInPandas(alive, posting))
+    postings = text.where(F.col("doc_id").isNotNull()).mapInArrow(index, "tok long, s1 long, n int, pos int, ell int")
+    # A shingle that one set alone has in its prefix joins nothing. One entry a set, whichever tasks met copies of it.
+    common = postings.groupBy("tok").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("tok")
+    live = scratch.put(postings.join(common, "tok", "left_semi").distinct())
 
     # Documents with one set are one node, named by its smallest id.
     alone = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -259,28 +257,28 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
     alike = sets.select("node", F.posexplode("bands").alias("band", "key"))
     head = scratch.put(alike.groupBy("band", "key").agg(F.min("node").alias("x"), F.count("*").alias("k")).where("k > 1").drop("k"))
     first = scratch.put(alike.join(head, ["band", "key"]).select("x", F.col("node").alias("y")).where("x <> y").distinct())
-    links = verified(spark, text, first, scratch, s)
+    links = verified(text, first, scratch, s)
     near = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
     known = scratch.put(sets.join(near, sets["node"] == near["id"], "left").select("s1", "n", F.col("node").alias("doc"), F.coalesce("component", "node").alias("comp"), "bits"))
     # Two sets with one s1 and size, if they ever meet, label each other's entries too: more to verify, nothing lost.
-    labelled = live.join(known, ["s1", "n"])
-
-    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of a list in different components that size and position allow, within the shorter of both prefixes."""
-        part = whole(batches)
-        if part is None:
-            return
-        part = part.sort_values(["tok", "n", "doc"], ignore_index=True)
-        t, d, comp, n, pos, ell = (part[c].to_numpy().astype(np.int64) for c in ("tok", "doc", "comp", "n", "pos", "ell"))
-        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        sizes = np.diff(np.r_[starts, len(t)])
-        mixed_lists = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+    # Only lists that reach over components are looked at, in blocks; how long each is was summed before it is dealt out.
+    lists = live.join(known.select("s1", "n", "comp"), ["s1", "n"]).groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    nb = F.ceil(F.col("m") / s.block).cast("int")
+    entries = live.join(lists.select("tok", nb.alias("nb")), "tok").join(known, ["s1", "n"])
+    entries = entries.withColumn("own", F.pmod(F.xxhash64("s1"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    units = entries.select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "doc", "comp", "pos", "ell", "bits")
+
+    def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Pairs of a unit in different components that size and position allow, within the shorter of both prefixes."""
+        t, i, j, own, d, comp, n, pos, ell = (part[c].to_numpy().astype(np.int64) for c in ("tok", "i", "j", "own", "doc", "comp", "n", "pos", "ell"))
+        starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        size = np.diff(np.r_[starts, len(t)])
         left = n - pos
-        bits = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(-1, 8)
+        bits = rows_of(part, "bits", "<u8")
         out = []
-        for x, y in list_pairs(starts[mixed_lists], sizes[mixed_lists]):
+        for x, y in list_pairs(starts, size):
             need = np.minimum(ell[x], ell[y])
-            ok = (comp[x] != comp[y]) & (n[x] * s.of >= n[y] * s.part)
+            ok = (comp[x] != comp[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & (n[x] * s.of >= n[y] * s.part)
             ok &= np.minimum(left[x], left[y]) + need - 1 >= required(n[x], n[y], s)
             ok &= (pos[x] < n[x] - least_shared(n[x], s) + need) & (pos[y] < n[y] - least_shared(n[y], s) + need)
             x, y, need = x[ok], y[ok], need[ok]
@@ -291,37 +289,38 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
             if len(x):
                 out.append(np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y]), need], 1))
         if out:
-            pairs, k = np.unique(np.concatenate(out), axis=0, return_counts=True)
-            yield pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1], "need": pairs[:, 2], "k": k})
+            found, k = np.unique(np.concatenate(out), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"x": found[:, 0], "y": found[:, 1], "need": found[:, 2], "k": k.astype(np.int64)})
 
-    second = labelled.repartition(n_parts, "tok").mapInPandas(across, "x long, y long, need long, k long")
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_units(batches, ("tok", "i", "j")):
+            yield from pairs(part)
+
+    units = units.repartition(n_parts, "tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "doc")
+    second = units.mapInArrow(across, "x long, y long, need long, k long")
     second = scratch.put(second.groupBy("x", "y").agg(F.min("need").alias("need"), F.sum("k").alias("k")).where("k >= need").select("x", "y"))
-    links = links.union(verified(spark, text, second, scratch, s))
+    scratch.drop(live)
+    links = links.union(verified(text, second, scratch, s))
     twins = scratch.put(alone.select("doc_id", "s1", "s2").join(sets.where("k > 1").select("s1", "s2", "node"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b"))
     comps = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(twins), scratch)
     out = sizes.where(F.col("doc_id").isNotNull()).join(comps, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.union(sizes.where(F.col("doc_id").isNull()).select("doc_id", "n", F.lit(None).cast("long")))
+    out = result.put(out.union(sizes.where(F.col("doc_id").isNull()).select("doc_id", "n", F.lit(None).cast("long"))))
+    scratch.clear()
+    return out
 
 
-def verified(spark: SparkSession, text: DataFrame, pairs: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar enough. Only sets that a pair names are made."""
-    ids = scratch.put(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct())
-    own = text.where(F.col("doc_id").isNotNull())
-    if (n := ids.count()) <= s.broadcast_ids:
-        wanted = spark.sparkContext.broadcast(np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64))) if n else None
-        if wanted is None:
-            return pairs.limit(0)
-    else:
-        wanted, own = None, own.join(ids, "doc_id", "left_semi")
+def verified(text: DataFrame, pairs: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
+    """The pairs (x, y) whose whole sets are similar enough. A filter of a fixed size leaves out most sets that no
+    pair names before they are made; the joins do the rest."""
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id"))
+    own, named_by_a_pair = perhaps_among(text, F.col("doc_id"), ids, F.col("doc_id"))
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(s.words)
         for b in batches:
-            if wanted is not None:
-                b = b[np.isin(b["doc_id"].to_numpy(np.int64), wanted.value)]
-            yield pd.DataFrame({"doc": b["doc_id"], "own": [packed(h) for h in shingle.sets(b["text"])]})
+            yield pa.RecordBatch.from_pydict({"doc": b.column("doc_id"), "own": pa.array([packed(h) for h in shingle.sets(b.column("text").to_pylist())], pa.binary())})
 
-    made = scratch.put(own.mapInPandas(sets, "doc long, own binary"))
+    made = scratch.put(own.where(named_by_a_pair).select("doc_id", "text").mapInArrow(sets, "doc long, own binary"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -334,7 +333,9 @@ def verified(spark: SparkSession, text: DataFrame, pairs: DataFrame, scratch: Sc
 
     p = made.select(F.col("doc").alias("x"), F.col("own").alias("p"))
     q = made.select(F.col("doc").alias("y"), F.col("own").alias("q"))
-    return scratch.put(pairs.join(p, "x").join(q, "y").select("x", "y", "p", "q").mapInPandas(compare, "x long, y long"))
+    out = scratch.put(pairs.join(p, "x").join(q, "y").select("x", "y", "p", "q").mapInPandas(compare, "x long, y long"))
+    scratch.drop(made)
+    return out
 
 
 def packed(h: np.ndarray) -> bytes:
@@ -349,7 +350,12 @@ def unpacked(b: bytes) -> np.ndarray:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, scratch: Scratch, s: Settings | None = None) -> DataFrame:
-    """One document of each group of near-copies, that with the smallest id; rows without id or words all stay."""
+    """One document of each group of near-copies, that with the smallest id, with all its columns.
+
+    Rows without id or words all stay, as do all rows that repeat the id of a kept one. No links: every row. An empty
+    table gives no rows. No column name clashes.
+    """
     comps = jaccard_components(spark, docs, scratch, s)
-    gone = scratch.put(comps.where("component_id < doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    name = unused("lathe_", docs) + "gone"
+    gone = scratch.put(comps.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
