@@ -313,7 +313,7 @@ def test_personal_data_learns_secrets(spark):
 def test_personal_data_asks_about_short_announced_values():
     def asked(text):
         base, numbers = pii.base_spans(text)
-        return [(pii.KINDS[k], text[a:b]) for a, k, b, _ in pii.candidates(text, base, numbers)]
+        return [(pii.KINDS[k], text[a:b]) for a, k, b, *_ in pii.candidates(text, base, numbers)]
 
     assert asked("password: hunter2 and pwd=Tr0ub4dor&3, see (api_key='x9').") == [("secret", "hunter2"), ("secret", "Tr0ub4dor&3"), ("secret", "x9")]
     assert asked("account 12345678, konto: 1234-5678") == [("account", "12345678"), ("account", "1234-5678")]
