@@ -16,10 +16,10 @@ SALIENT = r"(?i){b}(error|err|fail(ed|ure)?|fatal|exception|panic|traceback|refu
 NOISE = r"(?i)^\s*(at\s+node:internal|npm (WARN|notice)|added \d+ packages|Downloading|Fetching|Progress:|\d+% ?\|)"
 RANKS = [
     (3, r"(?i){b}not ok{b}"),
-    (3, r"(?i){b}(error|fail(ed|ure)?|exception|panic|fatal|assert(ion)?|refused|denied|timeout|traceback){b}"),
-    (2, r"(?i){b}(warn(ing)?|deprecat|skipped|todo|retry|retrying){b}"),
-    (2, r"(?i)^\s*#?\s*(tests?|pass|fail|suites?|duration_ms|cancelled|skipped){b}"),
-    (1, r"(?i)^\s*([-=*]{3,}|#{1,6}\s|\d+\)\s|at\s)"),
+    (3, r"(?i){b}(?:error|fail(?:ed|ure)?|exception|panic|fatal|assert(?:ion)?|refused|denied|timeout|traceback){b}"),
+    (2, r"(?i){b}(?:warn(?:ing)?|deprecat|skipped|todo|retry|retrying){b}"),
+    (2, r"(?i)^\s*#?\s*(?:tests?|pass|fail|suites?|duration_ms|cancelled|skipped){b}"),
+    (1, r"^\s*(?:[-=*]{3,}|#{1,6}\s|\d+\)\s|at\s)"),
 ]
 # The signs of each kind of text, tried in this order after valid JSON; True: only in the first 2,000 characters.
 KINDS = [

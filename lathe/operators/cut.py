@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, written to spark.checkpoint.dir (a temporary folder only where that is unset) and read again."""
+    """`df`, written to spark.checkpoint.dir and read again. Where that is unset, a temporary folder, on one machine only."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="lathe-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/lathe/cut-{uuid.uuid4().hex}"

@@ -65,7 +65,7 @@ def templated() -> Column:
 
 STAGES: list[Stage] = [
     Stage("html-to-markdown", False, lambda: (F.length("text") > 300) & html.looks_like_html(F.col("text")), make=lambda t: html.let(html.to_markdown(t), lambda md: F.when(F.length(md) >= 40, md))),
-    Stage("json-tables", True, lambda: (F.length("text") > 200) & (F.col("kind") == "json"), make=lambda t: F.when(tables.compact_json(t)["applied"], tables.compact_json(t)["text"]), closes=True),
+    Stage("json-tables", True, lambda: (F.length("text") > 200) & (F.col("kind") == "json"), make=lambda t: tables.compacted_json(t), closes=True),
     Stage("md-tables", True, lambda: (F.length("text") > 400) & F.col("text").contains("\n") & F.col("text").rlike("[|,]") & (F.col("kind") != "json"), lambda df: tables.md_tables(df).drop("tables"), closes=True),
     Stage("log-templates", True, lambda: (F.length("text") > 500) & F.col("text").contains("\n") & (F.col("kind") != "json"), lambda df: templates.log_templates(df).drop("form", "templates_found"), closes=True),
     Stage("template-rows", False, templated, _fit_templates, closes=True),

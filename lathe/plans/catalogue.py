@@ -538,7 +538,7 @@ def order_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return li.groupBy("l_orderkey").agg(rows.alias("rows")).select("l_orderkey", F.array(blocks.block("heading", level=9, text=F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"))), blocks.block("table", head=head, rows=F.col("rows"))).alias("b"))
 
 
-DOC_SQL = "r AS (SELECT l_orderkey, l_linenumber, [CAST(l_partkey AS VARCHAR), 'a|b, ' || l_returnflag, CASE WHEN l_linenumber % 2 = 0 THEN 'q\"q' ELSE l_linestatus END] AS c FROM lineitem WHERE l_orderkey % 50 < 5)"
+DOC_SQL = "r AS (SELECT l_orderkey, l_linenumber, [CAST(l_partkey AS VARCHAR), 'a|b, ' || l_returnflag, CASE WHEN l_linenumber % 2 = 0 THEN 'q\"q' ELSE l_linestatus END] AS c FROM lineitem)"
 
 
 @query(f"WITH {DOC_SQL} SELECT l_orderkey, '###### Order ' || l_orderkey || chr(10) || chr(10) || 'part,flag,status' || chr(10) || string_agg(array_to_string(list_transform(c, lambda v: CASE WHEN regexp_matches(v, '[\",]') THEN '\"' || replace(v, '\"', '\"\"') || '\"' ELSE v END), ','), chr(10) ORDER BY l_linenumber, c) AS markdown FROM r GROUP BY 1")
@@ -622,7 +622,7 @@ def store_grep(spark: SparkSession, sf: str) -> DataFrame:
     return store.grep(doc_store(spark, sf), "licen[cs]e|token")
 
 
-@query("WITH s AS (SELECT left(sha256(text), 16) AS id, min(doc_id) AS d FROM documents WHERE text IS NOT NULL GROUP BY text), f AS (SELECT id, d FROM s WHERE d >= 600 - 168 AND d <= 600) SELECT id FROM f ORDER BY d DESC, id LIMIT 50")
+@query("WITH s AS (SELECT left(sha256(text), 16) AS id, min(doc_id) AS d FROM documents WHERE text IS NOT NULL GROUP BY text), f AS (SELECT id, d FROM s WHERE d >= (SELECT max(d) FROM s) - 168) SELECT id FROM f ORDER BY d DESC, id LIMIT 50")
 def store_prune(spark: SparkSession, sf: str) -> DataFrame:
     own = doc_store(spark, sf)
     return store.prune(own, 50, 7, own.agg(F.max("stored_at")).scalar()).select("id")
