@@ -16,7 +16,6 @@ ENTITIES = {
 TAGS = "div|p|span|a|table|ul|ol|li|h[1-6]|section|article|main|script|style"
 HEAD = 4000
 MAIN = 200
-NESTED = 3
 
 
 def element(tag: str) -> str:
@@ -58,12 +57,28 @@ def strip_comments(html: Column) -> Column:
 
 
 def drop_elements(html: Column, tags: list[str] = DROP) -> Column:
-    """Without these elements, up to three deep, and without stray opening tags of theirs."""
-    for tag in tags:
-        for _ in range(NESTED if tag in ("nav", "aside", "template", "object", "svg") else 1):
-            html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-        html = F.regexp_replace(html, rf"(?i)<{tag}\b[^>]*/?>", " ")
-    return html
+    """Without these elements, tag by tag, however deep they are nested, and without stray opening tags of theirs.
+
+    One pass takes all elements of a tag that are not nested; where one opens within another there are as many passes
+    as there are closing tags. The passes are one fold over (tag, last pass), so the plan stays flat.
+    """
+
+    def pattern(before: str, tag: Column, *rest: Column | str) -> Column:
+        return F.concat(F.lit(before), tag, *[F.lit(x) if isinstance(x, str) else x for x in rest])
+
+    def folded(h: Column) -> Column:
+        def passes(tag: Column) -> Column:
+            nested = pattern("(?is)<", tag, r"\b[^>]*>(?:(?!</", tag, r"\b).)*?<", tag, r"\b")
+            n = F.when(F.regexp_like(h, nested), F.greatest(F.lit(1), F.regexp_count(h, pattern("(?i)</", tag, r"\s*>")))).otherwise(1)
+            return F.transform(F.array_repeat(tag, n), lambda t, i: F.struct(t.alias("tag"), (i + 1 == n).alias("last")))
+
+        def step(s: Column, x: Column) -> Column:
+            less = F.regexp_replace(s, pattern("(?is)<", x["tag"], r"\b[^>]*>.*?</", x["tag"], r"\s*>"), F.lit(" "))
+            return F.when(x["last"], F.regexp_replace(less, pattern("(?i)<", x["tag"], r"\b[^>]*/?>"), F.lit(" "))).otherwise(less)
+
+        return F.aggregate(F.flatten(F.transform(F.array(*map(F.lit, tags)), passes)), h, step)
+
+    return let(html, folded)
 
 
 def code_point(n: Column, other: Column) -> Column:

@@ -45,16 +45,14 @@ def of_kind(*kinds: str) -> Callable[[], Column]:
 
 
 def _fit_templates(df: DataFrame) -> DataFrame:
-    """Row forms cut to their budget: best-ranked rows first, then in order, as far as the running length allows."""
-    cut = df.withColumn("header", F.substring_index("text", "\n---\n", 1))
-    rows = cut.select("artifact_id", F.greatest(F.lit(200), F.col("budget") - F.length("header") - 120).alias("available"), F.posexplode(F.split(F.expr("substring(text, instr(text, '\n---\n') + 5)"), "\n", -1)).alias("line_no", "row"))
-    size = F.length("row") + 1
-    order = Window.partitionBy("artifact_id").orderBy((T.rank(F.col("row"))).desc(), "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = rows.withColumn("used", F.sum(size).over(order))
-    kept = kept.withColumn("keep", F.col("used") <= F.col("available"))
+    """Row forms cut to their budget: rows of rank best first, then ordinary ones in turns over the templates."""
+    whole = df.withColumn("header", F.substring_index("text", "\n---\n", 1))
+    rows = cut(whole.select("artifact_id", F.greatest(F.lit(200), F.col("budget") - F.length("header") - 120).alias("available"), F.posexplode(F.split(F.expr("substring(text, instr(text, '\n---\n') + 5)"), "\n", -1)).alias("line_no", "row")))
+    fitting = templates.fit_rows(rows).withColumn("keep", F.lit(True))
+    own = rows.withColumn("line_no", F.col("line_no").cast("long")).join(fitting, ["artifact_id", "line_no"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
     ordered = F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct("line_no", "row"))))
-    got = kept.groupBy("artifact_id").agg(F.array_join(F.transform(ordered, lambda x: x["row"]), "\n").alias("body"), F.count_if(~F.col("keep")).alias("gone"), F.count_if(~F.col("keep") & (T.rank(F.col("row")) > 0)).alias("lost"))
-    out = cut.join(got, "artifact_id", "left")
+    got = own.groupBy("artifact_id").agg(F.array_join(F.transform(ordered, lambda x: x["row"]), "\n").alias("body"), F.count_if(~F.col("keep")).alias("gone"), F.count_if(~F.col("keep") & (T.rank(F.col("row")) > 0)).alias("lost"))
+    out = whole.join(got, "artifact_id", "left")
     note = F.concat(F.lit("\n["), F.col("gone").cast("string"), F.lit(" row(s) dropped, "), F.when(F.col("lost") == 0, "every error and warning kept").otherwise(F.concat(F.col("lost").cast("string"), F.lit(" of them errors or warnings"))), F.lit("]"))
     return out.withColumn("rendered", F.when(F.col("gone") > 0, F.concat("header", F.lit("\n---\n"), "body", note))).drop("header", "body", "gone", "lost")
 
@@ -81,25 +79,37 @@ STAGES: list[Stage] = [
 def step(df: DataFrame, stage: Stage) -> DataFrame:
     """One stage. Rows that don't need it are passed by: a null text for a row-wise stage, a branch of their own else.
 
-    The branch reads its input several times, so the plan is cut before it.
+    The branch reads its input several times, so the plan is cut before it. A stage that can't even be planned is
+    recorded as failed for the rows that need it, and the others go on; row-wise stages decline texts they can't handle.
     """
     needs = F.coalesce((F.length("text") > F.col("budget")) & validate(stage).applies(), F.lit(False))
     columns = df.columns
     if stage.make is not None:
         todo = df.withColumn("needs", needs)
-        todo = todo.withColumn("rendered", stage.make(F.when(F.col("needs"), F.col("text"))))
-        return recorded(todo, stage, F.col("needs")).select(*columns)
+        made = proposed(lambda: todo.withColumn("rendered", stage.make(F.when(F.col("needs"), F.col("text")))), todo)
+        return recorded(made[0], stage, F.col("needs"), made[1]).select(*columns)
     df = cut(df.withColumn("needs", needs))
-    todo = stage.run(df.where("needs").drop("needs"))
-    return df.where("not needs").select(*columns).unionByName(recorded(todo, stage, F.lit(True)).select(*columns))
+    todo = df.where("needs").drop("needs")
+    made = proposed(lambda: stage.run(todo), todo)
+    return df.where("not needs").select(*columns).unionByName(recorded(made[0], stage, F.lit(True), made[1]).select(*columns))
 
 
-def recorded(todo: DataFrame, stage: Stage, tried: Column) -> DataFrame:
+def proposed(run: Callable[[], DataFrame], todo: DataFrame) -> tuple[DataFrame, str | None]:
+    """(rows with `rendered`, None), or nothing proposed and what went wrong."""
+    try:
+        out = run()
+        if missing := {*todo.columns, "rendered"} - {*out.columns}:
+            raise ValueError(f"no {sorted(missing)} in what the stage gives")
+    except Exception as e:  # whatever a stage of the user raises
+        return todo.withColumn("rendered", F.lit(None).cast("string")), f"failed: {type(e).__name__}"
+    return out, None
+
+
+def recorded(todo: DataFrame, stage: Stage, tried: Column, failure: str | None = None) -> DataFrame:
     """The stage's proposal taken if it is shorter, and a record of it for the rows that tried it."""
     use = tried & F.col("rendered").isNotNull() & (F.length("rendered") < F.length("text"))
-    record = F.struct(
-        F.lit(stage.id).alias("id"), use.alias("applied"), F.lit(stage.lossless).alias("lossless"), F.when(use, "shorter").when(F.col("rendered").isNull(), "declined").otherwise("would grow").alias("reason"), F.length("text").alias("before"), F.when(use, F.length("rendered")).otherwise(F.length("text")).alias("after")
-    )
+    reason = F.when(use, "shorter").when(F.col("rendered").isNull(), failure or "declined").otherwise("would grow")
+    record = F.struct(F.lit(stage.id).alias("id"), use.alias("applied"), F.lit(stage.lossless).alias("lossless"), reason.alias("reason"), F.length("text").alias("before"), F.when(use, F.length("rendered")).otherwise(F.length("text")).alias("after"))
     todo = todo.withColumn("use", use).withColumn("applied", F.when(tried, F.array_append("applied", record)).otherwise(F.col("applied")))
     return todo.withColumn("open", F.col("open") & ~(F.col("use") & F.lit(stage.closes))).withColumn("text", F.when(F.col("use"), F.col("rendered")).otherwise(F.col("text")))
 
@@ -114,6 +124,8 @@ def reduce_corpus(artifacts: DataFrame, stages: list[Stage] | None = None) -> Da
     df = df.withColumn("original", F.col("text")).withColumn("kind", T.detect_kind(F.col("text"))).withColumn("open", F.lit(True)).withColumn("applied", F.array().cast(APPLIED))
     for s in STAGES if stages is None else stages:
         df = step(df, s)
+    # What callers filter or join must not be worked into the stages' expressions.
+    df = cut(df)
     lossy = F.exists("applied", lambda a: a["applied"] & ~a["lossless"])
     changed = F.exists("applied", lambda a: a["applied"])
     names = F.array_join(F.transform(F.filter("applied", lambda a: a["applied"]), lambda a: a["id"]), ", ")

@@ -65,7 +65,7 @@ def shrink_tests(artifacts: DataFrame) -> DataFrame:
 
     A failure keeps up to 24 lines that are not blank, up to the next verdict. Blocks are numbered by a running count
     of verdicts; within a block, a failure mark among the lines of an earlier failure starts nothing, which a fold
-    over the block's failures decides.
+    over the block's failures decides, of which those that start something are at least that far apart.
     """
     rows = artifacts.select("artifact_id", F.posexplode(all_lines(F.col("text"))).alias("i", "line"))
     is_ = lambda p: F.col("line").rlike(T.spark_re(p))
@@ -74,10 +74,12 @@ def shrink_tests(artifacts: DataFrame) -> DataFrame:
     kind = F.when(is_(SUMMARY), "summary").when(is_(ANNOUNCED) | is_(PASSING), "passing").when(is_(FAILING), "failing").when(is_(T.SALIENT) & ~is_(T.NOISE), "salient")
     rows = rows.withColumn("kind", kind)
     in_block = Window.partitionBy("artifact_id", "block")
-    failures = F.array_sort(F.collect_list(F.when(F.col("kind") == "failing", F.col("i"))).over(in_block))
+    # Which failures start: decided once a block, then told to their own rows alone.
     far = lambda s, x: F.when((F.size(s) == 0) | (x > F.element_at(s, -1) + DIAGNOSTICS), F.array_append(s, x)).otherwise(s)
-    rows = rows.withColumn("starts", F.aggregate(failures, F.array().cast("array<int>"), far))
-    last = F.last(F.when(F.array_contains("starts", F.col("i")), F.col("i")), ignorenulls=True).over(in_block.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    failures = rows.where("kind = 'failing'").groupBy("artifact_id", "block").agg(F.array_sort(F.collect_list("i")).alias("at"))
+    starts = failures.select("artifact_id", F.explode(F.aggregate("at", F.array().cast("array<int>"), far)).alias("i"), F.lit(True).alias("starts"))
+    rows = rows.join(starts, ["artifact_id", "i"], "left")
+    last = F.last(F.when(F.col("starts"), F.col("i")), ignorenulls=True).over(in_block.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("start", last).withColumn("inside", F.coalesce((F.col("i") > F.col("start")) & (F.col("i") <= F.col("start") + DIAGNOSTICS), F.lit(False)))
     keep = F.when(F.col("inside"), F.trim("line") != "").otherwise(F.coalesce(F.col("kind").isin("failing", "salient"), F.lit(False)))
     summary = ~F.col("inside") & (F.col("kind") == "summary")

@@ -52,6 +52,11 @@ def prune(store: DataFrame, most: int = 500, max_age_days: int = 7, now: Column
     return fresh.join(newest.select("id"), "id", "left_semi")
 
 
+def clear(store: DataFrame) -> DataFrame:
+    """What stays of a store that is emptied: its columns, no entry."""
+    return store.where(F.lit(False))
+
+
 def has(store: DataFrame, id_: str) -> DataFrame:
     return get(store, id_).agg((F.count("*") > 0).alias("found"))
 
@@ -75,4 +80,4 @@ def kind_stats(results: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["get", "grep", "has", "id_for", "kind_stats", "needles_kept", "prune", "put", "slice_lines", "stats"]
+__all__ = ["clear", "get", "grep", "has", "id_for", "kind_stats", "needles_kept", "prune", "put", "slice_lines", "stats"]

@@ -8,11 +8,13 @@ between the fields of a column row.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, columnar, masking, text
 from ..functions.html import let
+from .cut import cut
 
 MIN_USES = 3
 MAX_TEMPLATES = 500
@@ -86,9 +88,9 @@ def render_columns(m: DataFrame, templates: DataFrame) -> DataFrame:
 
 def expand_columns(forms: DataFrame) -> DataFrame:
     """lines(artifact_id, line_no, line) from (artifact_id, column_form)."""
-    cut = forms.select("artifact_id", F.substring_index("column_form", "\n---\n", 1).alias("head"), F.expr("substring(column_form, instr(column_form, '\n---\n') + 5)").alias("body"))
-    heads = cut.select("artifact_id", F.explode(F.split("head", "\n", -1)).alias("h")).select("artifact_id", F.regexp_extract("h", r"^T(\d+)  ", 1).alias("id"), F.regexp_replace("h", r"^T\d+  ", "").alias("template"))
-    rows = cut.select("artifact_id", F.explode(F.split("body", "\n", -1)).alias("row")).where("row <> ''").withColumn("f", F.split("row", FIELD, -1))
+    whole = forms.select("artifact_id", F.substring_index("column_form", "\n---\n", 1).alias("head"), F.expr("substring(column_form, instr(column_form, '\n---\n') + 5)").alias("body"))
+    heads = whole.select("artifact_id", F.explode(F.split("head", "\n", -1)).alias("h")).select("artifact_id", F.regexp_extract("h", r"^T(\d+)  ", 1).alias("id"), F.regexp_replace("h", r"^T\d+  ", "").alias("template"))
+    rows = whole.select("artifact_id", F.explode(F.split("body", "\n", -1)).alias("row")).where("row <> ''").withColumn("f", F.split("row", FIELD, -1))
     own = rows.where(F.col("row").startswith("V")).select("artifact_id", F.substring(F.get("f", F.lit(0)), F.lit(2), F.lit(18)).cast("long").alias("line_no"), F.array_join(F.slice("f", F.lit(2), F.size("f")), FIELD).alias("line"))
     t = rows.where(F.col("row").startswith("T")).withColumn("id", F.substring(F.get("f", F.lit(0)), F.lit(2), F.lit(18))).join(heads, ["artifact_id", "id"])
     decoded = F.transform(F.slice("f", F.lit(3), F.size("f") - 2), lambda x: columnar.decode_column(F.substring_index(x, ":", 1), F.regexp_replace(x, "(?s)^[a-z]+:", "")))
@@ -103,9 +105,9 @@ def expand_rows(forms: DataFrame) -> DataFrame:
 
     Rows are read one by one, since values hold no line end; cells are taken as text.
     """
-    cut = forms.select("artifact_id", F.substring_index("row_form", "\n---\n", 1).alias("head"), F.expr("substring(row_form, instr(row_form, '\n---\n') + 5)").alias("body"))
-    heads = cut.select("artifact_id", F.explode(F.split("head", "\n", -1)).alias("h")).select("artifact_id", F.regexp_extract("h", r"^T(\d+)  ", 1).alias("id"), F.regexp_replace("h", r"^T\d+  ", "").alias("template"))
-    rows = cut.select("artifact_id", F.posexplode(F.split("body", "\n", -1)).alias("i", "row")).withColumn("id", F.regexp_extract("row", r"^T(\d+)(?: |$)", 1))
+    whole = forms.select("artifact_id", F.substring_index("row_form", "\n---\n", 1).alias("head"), F.expr("substring(row_form, instr(row_form, '\n---\n') + 5)").alias("body"))
+    heads = whole.select("artifact_id", F.explode(F.split("head", "\n", -1)).alias("h")).select("artifact_id", F.regexp_extract("h", r"^T(\d+)  ", 1).alias("id"), F.regexp_replace("h", r"^T\d+  ", "").alias("template"))
+    rows = whole.select("artifact_id", F.posexplode(F.split("body", "\n", -1)).alias("i", "row")).withColumn("id", F.regexp_extract("row", r"^T(\d+)(?: |$)", 1))
     raw = F.regexp_extract_all(F.regexp_replace("row", r"^T\d+ ?", ""), F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
     plain = F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
     own = rows.join(heads, ["artifact_id", "id"], "left")
@@ -122,8 +124,9 @@ def log_templates(artifacts: DataFrame, key: str = "anchors3") -> DataFrame:
     """
     texts = artifacts.where((F.length("text") > 500) & F.col("text").contains("\n") & ~F.col("text").contains("\r") & ~F.col("text").rlike(r"(?m)^[TV]\d+(?:[ \x04]|$)|\x01|\x02|\x03|\x04|^---$"))
     rows = texts.select("artifact_id", F.posexplode(text.lines(F.col("text"))).alias("line_no", "line"))
-    m = masked(rows, key)
-    t = mine(m)
+    # Masks are dear and read by several branches.
+    m = cut(masked(rows, key))
+    t = cut(mine(m))
     forms = render_rows(m, t).join(render_columns(m, t), "artifact_id").join(t.groupBy("artifact_id").agg(F.count("*").alias("templates_found")), "artifact_id")
     out = artifacts.join(forms, "artifact_id", "left")
     by_column = (F.length("column_form") <= F.col("budget")) & (F.length("column_form") < F.length("row_form"))
@@ -133,32 +136,43 @@ def log_templates(artifacts: DataFrame, key: str = "anchors3") -> DataFrame:
     return out.drop("row_form", "column_form")
 
 
-def fit_rows(rows: DataFrame, available: int) -> DataFrame:
+def _in_turns(queues: pd.Series, spent: pd.Series, room: pd.Series) -> pd.Series:
+    """Numbers of the lines that are taken from each queue: in order, a template being through at its first that doesn't fit."""
+
+    def take(queue, used: int, available: int) -> list[int]:
+        shut, taken = set(), []
+        for x in queue:
+            if x["since"] in shut:
+                continue
+            if used + x["size"] > available:
+                shut.add(x["since"])
+                continue
+            used += x["size"]
+            taken.append(x["line_no"])
+        return taken
+
+    return pd.Series([take(q, int(u), int(a)) for q, u, a in zip(queues, spent, room, strict=True)], dtype=object)
+
+
+def fit_rows(rows: DataFrame, available: int | None = None) -> DataFrame:
     """rows(artifact_id, line_no, row) that fit: those of rank above 0 first, best first, up to the first that doesn't fit;
     then ordinary rows in turns over their templates, a template being through at its first row that doesn't fit.
 
-    Lengths count the line end. The turns are a fold over an artifact's ordinary rows in order of (turn, template).
+    Lengths count the line end. `available` is one for all, or a column of `rows`. The turns depend on each other, so
+    an artifact's ordinary rows are walked once, in order of (turn, template).
     """
     r = rows.withColumn("rank", text.rank(F.col("row"))).withColumn("size", F.length("row") + 1)
+    if available is not None:
+        r = r.withColumn("available", F.lit(available))
     best = Window.partitionBy("artifact_id").orderBy(F.col("rank").desc(), "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = r.where("rank > 0").withColumn("used", F.sum("size").over(best)).where(F.col("used") <= available)
+    kept = r.where("rank > 0").withColumn("used", F.sum("size").over(best)).where(F.col("used") <= F.col("available"))
     spent = kept.groupBy("artifact_id").agg(F.max("used").alias("spent"))
     tid = F.coalesce(F.nullif(F.regexp_extract("row", r"^[TV](\d+)", 1), F.lit("")), F.lit("?"))
     plain = r.where("rank = 0").withColumn("tid", tid)
     per = Window.partitionBy("artifact_id", "tid")
     plain = plain.withColumn("turn", F.row_number().over(per.orderBy("line_no"))).withColumn("since", F.min("line_no").over(per))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "since", "line_no", "size")))
-    queue = plain.groupBy("artifact_id").agg(ordered.alias("q")).join(spent, "artifact_id", "left").withColumn("spent", F.coalesce("spent", F.lit(0)).cast("long"))
-    start = F.struct(F.col("spent").alias("used"), F.array().cast("array<bigint>").alias("closed"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(s, x):
-        shut = F.array_contains(s["closed"], x["since"].cast("long"))
-        fits = s["used"] + x["size"] <= available
-        return F.struct(
-            F.when(~shut & fits, s["used"] + x["size"]).otherwise(s["used"]).alias("used"),
-            F.when(~shut & ~fits, F.array_append(s["closed"], x["since"].cast("long"))).otherwise(s["closed"]).alias("closed"),
-            F.when(~shut & fits, F.array_append(s["taken"], x["line_no"].cast("long"))).otherwise(s["taken"]).alias("taken"),
-        )
-
-    taken = queue.select("artifact_id", F.explode(F.aggregate("q", start, step, lambda s: s["taken"])).alias("line_no"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", F.col("since").cast("long").alias("since"), F.col("line_no").cast("long").alias("line_no"), F.col("size").cast("long").alias("size"))))
+    queue = plain.groupBy("artifact_id").agg(ordered.alias("q"), F.first("available").alias("available")).join(spent, "artifact_id", "left")
+    walk = F.pandas_udf(_in_turns, "array<bigint>")
+    taken = queue.select("artifact_id", F.explode(walk("q", F.coalesce("spent", F.lit(0)).cast("long"), F.col("available").cast("long"))).alias("line_no"))
     return kept.select("artifact_id", F.col("line_no").cast("long").alias("line_no")).union(taken)

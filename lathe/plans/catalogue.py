@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import blocks, cells, columnar, html, masking
+from ..functions import blocks, cells, columnar, commands, html, masking
 from ..functions import text as T
 from ..functions.masking import DUCK_ANY, duck_mask
 from ..functions.text import duck_re
@@ -35,6 +35,10 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def value_sql(s: str | None) -> str:
+    return "NULL" if s is None else lit(s)
+
+
 def rank_sql(line: str) -> str:
     apart = f"regexp_replace({line}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
     return "CASE " + " ".join(f"WHEN regexp_matches({apart}, {lit(duck_re(p))}) THEN {r}" for r, p in T.RANKS) + " ELSE 0 END"
@@ -96,10 +100,15 @@ def interesting_lines(spark: SparkSession, sf: str) -> DataFrame:
     return doc_lines(spark, sf).select(T.is_interesting(F.col("line")).alias("interesting"), "line").groupBy("interesting").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("SELECT doc_id, CAST(true AS BOOLEAN) AS same FROM documents")
+@query("SELECT doc_id, coalesce(text, '') AS restored FROM documents")
 def line_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "documents")
-    return d.select("doc_id", (T.join_lines(T.line_set(F.col("text"))) == F.coalesce("text", F.lit(""))).alias("same"))
+    return read(spark, sf, "documents").select("doc_id", T.join_lines(T.line_set(F.col("text"))).alias("restored"))
+
+
+@query(f"WITH {DOC_LINES} SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS restored FROM dl GROUP BY 1")
+def unfold_runs(spark: SparkSession, sf: str) -> DataFrame:
+    ls = read(spark, sf, "documents").select("doc_id", T.lines(F.col("text")).alias("ls")).where(F.size("ls") > 0)
+    return ls.select("doc_id", F.array_join(columnar.unfold(columnar.runs(F.col("ls"))), "\n").alias("restored"))
 
 
 @query(f"WITH {DOC_LINES}, c AS (SELECT *, CASE WHEN line IS NOT DISTINCT FROM lag(line) OVER (PARTITION BY doc_id ORDER BY i) AND i > 0 THEN 0 ELSE 1 END AS new FROM dl), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c) SELECT doc_id, min(i) AS first, any_value(line) AS line, count(*) AS n FROM r GROUP BY doc_id, run HAVING count(*) > 1")
@@ -129,17 +138,21 @@ def head_tail(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", T.head_tail(F.col("text"), 1000).alias("reduced"))
 
 
-COMMANDS = ["npm install left-pad", "git log --oneline", "cat /var/log/syslog", "ls -la", "pytest -q", "docker build .", "echo done", "find / -name x", "cargo build", "make all"]
-# Shell commands whose output tends to be long, and why.
-NOISY = [("install", r"^(npm|yarn|pnpm|pip|cargo|go) (i|install|ci|add|get)\b"), ("build", r"^(docker|cargo|make|mvn|gradle|npm run) ?(build|all|package)?\b"), ("tests", r"^(pytest|jest|mocha|go test|cargo test|npm test)\b"), ("listing", r"^(ls|find|tree|du)\b"), ("log", r"^(git log|journalctl|cat .*log|tail)\b")]
+# A command a hook's payload, and what is expected of it: the kind and the nature of its output, none for the quiet ones.
+COMMANDS = [
+    ('{"tool_input":{"command":"npm run test"}}', "test", "a test suite"), ('{"input":{"command":"node --test x.mjs"}}', "test", "a test run"), ('{"command":"cargo  test --all"}', "test", "a test run"),
+    ('{"toolInput":{"command":"pnpm install left-pad"}}', "log", "an install log"), ('{"params":{"command":"cargo build"}}', "log", "a build log"), ('{"arguments":{"command":"npm run build"}}', "log", "a build log"),
+    ('{"command":"git diff HEAD~3"}', "diff", "git output that is often long"), ('{"tool_input":{"script":"kubectl logs web-1"}}', "log", "container logs"), ('{"input":{"script":"cat /var/log/app.log"}}', None, "a file that may be large"),
+    ('{"command":"curl -s https://example.com/a"}', "json", "a network response"), ('{"command":"ls -laR /"}', None, "a recursive listing"), ('{"command":"ls -la"}', None, None), ('{"command":"pytest -q"}', None, None), ('{"command":"make > /dev/null"}', None, None),
+    ('{"command":"npm ci --silent"}', None, None), ('{"tool_input":{"command":" "},"command":"git show x"}', "diff", "git output that is often long"), ('{"other":1}', None, None), ('{"command":"git status"}', None, None), ('{"command":"echo latest"}', None, None),
+]
 
 
-@query("SELECT c AS command, CASE " + " ".join(f"WHEN regexp_matches(c, {lit(p)}) THEN '{k}'" for k, p in NOISY) + f" END AS advice FROM (SELECT unnest({COMMANDS!r}) AS c)")
+@query(f"SELECT o_orderkey, x.kind, x.why FROM orders JOIN (VALUES {', '.join(f'({i}, {value_sql(k)}, {value_sql(w)})' for i, (_, k, w) in enumerate(COMMANDS))}) x(i, kind, why) ON o_orderkey % {len(COMMANDS)} = x.i")
 def command_advice(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for kind, p in NOISY:
-        out = F.when(F.col("command").rlike(p), kind) if out is None else out.when(F.col("command").rlike(p), kind)
-    return spark.createDataFrame([(c,) for c in COMMANDS], "command string").withColumn("advice", out)
+    payload = F.element_at(F.array(*[F.lit(c) for c, _, _ in COMMANDS]), (F.col("o_orderkey") % len(COMMANDS) + 1).cast("int"))
+    a = read(spark, sf, "orders").select("o_orderkey", commands.advice(commands.command_of(payload)).alias("a"))
+    return a.select("o_orderkey", "a.kind", "a.why")
 
 
 # Masking and templates
@@ -198,27 +211,64 @@ def template_columns_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return templates.expand_columns(templates.render_columns(m, templates.mine(m)))
 
 
-@query()
+@query(f"WITH {MINED}, x AS (SELECT artifact_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM log GROUP BY 1), n AS (SELECT artifact_id, count(*) AS templates_found FROM t GROUP BY 1) SELECT x.artifact_id, templates_found, text AS restored FROM x LEFT JOIN n ON x.artifact_id = n.artifact_id AND length(text) > 500")
 def log_templates(spark: SparkSession, sf: str) -> DataFrame:
-    out = templates.log_templates(log_artifacts(spark, sf, 1500))
-    return out.select("artifact_id", "form", "templates_found", F.length("text").alias("before"), F.length("rendered").alias("after"))
+    """Whichever form was chosen gives the text back."""
+    out = templates.log_templates(log_artifacts(spark, sf, 1500)).select("artifact_id", "text", "form", "templates_found", "rendered")
+    by_row = templates.expand_rows(out.where("form = 'rows'").select("artifact_id", F.col("rendered").alias("row_form")))
+    cells_back = templates.expand_columns(out.where("form = 'columns'").select("artifact_id", F.col("rendered").alias("column_form")))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    by_column = cells_back.groupBy("artifact_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    back = by_row.union(by_column.select("artifact_id", "text")).withColumnRenamed("text", "back")
+    return out.join(back, "artifact_id", "left").select("artifact_id", "templates_found", F.when(F.col("form").isNull(), F.col("text")).otherwise(F.col("back")).alias("restored"))
 
 
-@query(f"""WITH {ROWS}, x AS (SELECT artifact_id, line_no, row, {rank_sql('row')} AS rank, length(row) + 1 AS size FROM r),
-u AS (SELECT *, sum(size) OVER (PARTITION BY artifact_id ORDER BY rank DESC, line_no ROWS UNBOUNDED PRECEDING) AS used FROM x WHERE rank > 0)
-SELECT artifact_id, line_no FROM u WHERE used <= 300""")
-def template_rows_budget(spark: SparkSession, sf: str) -> DataFrame:
-    m = templates.masked(log_lines(spark, sf))
-    t = templates.mine(m)
-    rows = templates.placed(m, t).select("artifact_id", "line_no", templates.row_line(F.col("values"), F.col("template_id"), F.col("line")).alias("row"))
-    return templates.fit_rows(rows.where(T.rank(F.col("row")) > 0), 300)
+@query(f"WITH {LOG_SQL}, x AS (SELECT artifact_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM log GROUP BY 1) SELECT artifact_id, length(text) > 1500 AS long, true AS shorter FROM x WHERE length(text) > 1500")
+def log_templates_shrink(spark: SparkSession, sf: str) -> DataFrame:
+    out = templates.log_templates(log_artifacts(spark, sf, 1500)).where("length(text) > 1500")
+    return out.select("artifact_id", (F.length("text") > 1500).alias("long"), F.coalesce(F.length("rendered") < F.length("text"), F.lit(False)).alias("shorter"))
 
 
-@query()
+def flagged_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs in which every fifth line has a failure among its values."""
+    note = F.when(F.col("line_no") % 5 == 0, ' note="request failed"').otherwise(' note="fine"')
+    return log_lines(spark, sf).withColumn("line", F.concat("line", note))
+
+
+FLAGGED = LOG_SQL.replace("log AS (", "log0 AS (", 1) + """, log AS (SELECT artifact_id, line_no, event_id, line || CASE WHEN line_no % 5 = 0 THEN ' note="request failed"' ELSE ' note="fine"' END AS line FROM log0)"""
+
+
+def fitted_sql(available: int) -> str:
+    """Rows with rank and size (x), those of rank above 0 that fit (u), and the ordinary ones in turns (q)."""
+    return f"""{ROWS.replace(LOG_SQL, FLAGGED)}, x AS (SELECT artifact_id, line_no, row, {rank_sql('row')} AS rank, length(row) + 1 AS size FROM r),
+u0 AS (SELECT *, sum(size) OVER (PARTITION BY artifact_id ORDER BY rank DESC, line_no ROWS UNBOUNDED PRECEDING) AS used FROM x WHERE rank > 0),
+u AS (SELECT artifact_id, line_no, used FROM u0 WHERE used <= {available}),
+p AS (SELECT artifact_id, line_no, size, coalesce(nullif(regexp_extract(row, '^[TV](\\d+)', 1), ''), '?') AS tid FROM x WHERE rank = 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY artifact_id, tid ORDER BY line_no) AS turn, min(line_no) OVER (PARTITION BY artifact_id, tid) AS since FROM p),
+q AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY turn, since, line_no) AS k FROM w)"""
+
+
+def template_rows(spark: SparkSession, sf: str) -> DataFrame:
+    m = templates.masked(flagged_lines(spark, sf))
+    return templates.placed(m, templates.mine(m)).select("artifact_id", "line_no", templates.row_line(F.col("values"), F.col("template_id"), F.col("line")).alias("row"))
+
+
+@query(f"WITH {fitted_sql(300)} SELECT artifact_id, line_no FROM u")
+def template_rows_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.fit_rows(template_rows(spark, sf).where(T.rank(F.col("row")) > 0), 300)
+
+
+@query(f"""WITH RECURSIVE {fitted_sql(900)}, f AS (
+  SELECT DISTINCT q.artifact_id, CAST(0 AS BIGINT) AS k, CAST(coalesce(s.spent, 0) AS BIGINT) AS used, CAST([] AS BIGINT[]) AS shut, CAST(NULL AS BIGINT) AS took
+  FROM q LEFT JOIN (SELECT artifact_id, max(used) AS spent FROM u GROUP BY 1) s ON q.artifact_id = s.artifact_id
+  UNION ALL
+  SELECT f.artifact_id, q.k, CASE WHEN NOT list_contains(f.shut, q.since) AND f.used + q.size <= 900 THEN f.used + q.size ELSE f.used END,
+         CASE WHEN f.used + q.size > 900 THEN list_append(f.shut, q.since) ELSE f.shut END,
+         CASE WHEN NOT list_contains(f.shut, q.since) AND f.used + q.size <= 900 THEN q.line_no END
+  FROM f JOIN q ON q.artifact_id = f.artifact_id AND q.k = f.k + 1)
+SELECT artifact_id, line_no FROM u UNION ALL SELECT artifact_id, took FROM f WHERE took IS NOT NULL""")
 def template_rows_fair(spark: SparkSession, sf: str) -> DataFrame:
-    m = templates.masked(log_lines(spark, sf))
-    rows = templates.placed(m, templates.mine(m)).select("artifact_id", "line_no", templates.row_line(F.col("values"), F.col("template_id"), F.col("line")).alias("row"))
-    return templates.fit_rows(rows, 600)
+    return templates.fit_rows(template_rows(spark, sf), 900)
 
 
 # Column encodings
@@ -239,49 +289,49 @@ STARTS = "list_filter(range(1, len(a) + 1), lambda i: i = 1 OR a[i] IS DISTINCT
 RUNS_SQL = f"array_to_string(list_transform({STARTS}, lambda i: a[i] || CASE WHEN coalesce(list_min(list_filter({STARTS}, lambda j: j > i)), len(a) + 1) - i > 1 THEN chr(1) || (coalesce(list_min(list_filter({STARTS}, lambda j: j > i)), len(a) + 1) - i) ELSE '' END), chr(2))"
 
 
-@query(f"WITH {per_order_sql('l_partkey')} SELECT l_orderkey, {DELTA_SQL} AS encoded, true AS same FROM o")
+@query(f"WITH {per_order_sql('l_partkey')} SELECT l_orderkey, {DELTA_SQL} AS encoded, array_to_string(a, ',') AS restored FROM o")
 def delta_encode(spark: SparkSession, sf: str) -> DataFrame:
     e = per_order(spark, sf, "l_partkey").withColumn("encoded", columnar.encode_delta(F.col("a")))
-    return e.select("l_orderkey", "encoded", (columnar.decode_delta(F.col("encoded")) == F.col("a")).alias("same"))
+    return e.select("l_orderkey", "encoded", F.array_join(columnar.decode_delta(F.col("encoded")), ",").alias("restored"))
 
 
-@query(f"WITH {per_order_sql('l_returnflag')} SELECT l_orderkey, {DICT_SQL} AS encoded, ({DICT_SQL}) IS NOT NULL AS same FROM o")
+@query(f"WITH {per_order_sql('l_returnflag')} SELECT l_orderkey, {DICT_SQL} AS encoded, CASE WHEN ({DICT_SQL}) IS NOT NULL THEN array_to_string(a, ',') END AS restored FROM o")
 def dict_encode(spark: SparkSession, sf: str) -> DataFrame:
     e = per_order(spark, sf, "l_returnflag").withColumn("encoded", columnar.encode_dict(F.col("a")))
-    return e.select("l_orderkey", "encoded", F.coalesce(columnar.decode_dict(F.col("encoded")) == F.col("a"), F.lit(False)).alias("same"))
+    return e.select("l_orderkey", "encoded", F.array_join(columnar.decode_dict(F.col("encoded")), ",").alias("restored"))
 
 
-@query(f"WITH {per_order_sql('l_linestatus')} SELECT l_orderkey, {RUNS_SQL} AS encoded, true AS same FROM o")
+@query(f"WITH {per_order_sql('l_linestatus')} SELECT l_orderkey, {RUNS_SQL} AS encoded, array_to_string(a, ',') AS restored FROM o")
 def rle_encode(spark: SparkSession, sf: str) -> DataFrame:
     e = per_order(spark, sf, "l_linestatus").withColumn("encoded", columnar.encode_runs(F.col("a")))
-    return e.select("l_orderkey", "encoded", (columnar.decode_runs(F.col("encoded")) == F.col("a")).alias("same"))
+    return e.select("l_orderkey", "encoded", F.array_join(columnar.decode_runs(F.col("encoded")), ",").alias("restored"))
 
 
-@query(f"WITH {per_order_sql('l_suppkey')} SELECT l_orderkey, array_to_string(a, chr(2)) AS encoded, true AS same FROM o")
+@query(f"WITH {per_order_sql('l_suppkey')} SELECT l_orderkey, array_to_string(a, chr(2)) AS encoded, array_to_string(a, ',') AS restored FROM o")
 def verbatim_encode(spark: SparkSession, sf: str) -> DataFrame:
     e = per_order(spark, sf, "l_suppkey").withColumn("encoded", columnar.encode_verbatim(F.col("a")))
-    return e.select("l_orderkey", "encoded", (columnar.decode_verbatim(F.col("encoded")) == F.col("a")).alias("same"))
+    return e.select("l_orderkey", "encoded", F.array_join(columnar.decode_verbatim(F.col("encoded")), ",").alias("restored"))
 
 
-@query("""WITH o AS (SELECT user_id, list(epoch(date_trunc('second', ts))::BIGINT ORDER BY ts, event_id) AS s FROM events GROUP BY 1)
-SELECT user_id, 'T||Z' || chr(3) || array_to_string([CAST(s[1] AS VARCHAR)] || list_transform(range(2, len(s) + 1), lambda i: CASE WHEN s[i] >= s[i - 1] THEN '+' ELSE '' END || (s[i] - s[i - 1])), ' ') AS encoded, true AS same FROM o""")
+@query("""WITH o AS (SELECT user_id, list(epoch(date_trunc('second', ts))::BIGINT ORDER BY ts, event_id) AS s, string_agg(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), ',' ORDER BY ts, event_id) AS a FROM events GROUP BY 1)
+SELECT user_id, 'T||Z' || chr(3) || array_to_string([CAST(s[1] AS VARCHAR)] || list_transform(range(2, len(s) + 1), lambda i: CASE WHEN s[i] >= s[i - 1] THEN '+' ELSE '' END || (s[i] - s[i - 1])), ' ') AS encoded, a AS restored FROM o""")
 def stamps_encode(spark: SparkSession, sf: str) -> DataFrame:
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     a = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", stamp.alias("v")))), lambda x: x["v"])
     e = read(spark, sf, "events").groupBy("user_id").agg(a.alias("a")).withColumn("encoded", columnar.encode_stamps(F.col("a")))
-    return e.select("user_id", "encoded", (columnar.decode_stamps(F.col("encoded")) == F.col("a")).alias("same"))
+    return e.select("user_id", "encoded", F.array_join(columnar.decode_stamps(F.col("encoded")), ",").alias("restored"))
 
 
 BEST_SQL = f"""c AS (SELECT l_orderkey, a, array_to_string(a, chr(2)) AS v, {DELTA_SQL} AS d, {DICT_SQL} AS k, {RUNS_SQL} AS r FROM o),
 e AS (SELECT *, list_sort([struct_pack(n := length(v), p := 0, name := 'verbatim', t := v)] || CASE WHEN len(a) < 4 THEN [] ELSE [struct_pack(n := length(d), p := 1, name := 'delta', t := d), struct_pack(n := coalesce(length(k), 999999999), p := 2, name := 'dict', t := k), struct_pack(n := length(r), p := 3, name := 'runs', t := r)] END)[1] AS b FROM c)"""
 
 
-@query(f"WITH {per_order_sql('CAST(l_quantity AS BIGINT)')}, {BEST_SQL} SELECT l_orderkey, b.name AS encoding, b.t AS text, CAST(len(a) AS INT) AS rows, true AS same FROM e")
+@query(f"WITH {per_order_sql('CAST(l_quantity AS BIGINT)')}, {BEST_SQL} SELECT l_orderkey, b.name AS encoding, b.t AS text, CAST(len(a) AS INT) AS rows, array_to_string(a, ',') AS restored FROM e")
 def best_encoding(spark: SparkSession, sf: str) -> DataFrame:
     li = read(spark, sf, "lineitem").withColumn("q", F.col("l_quantity").cast("long"))
     a = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("q").cast("string").alias("q")))), lambda x: x["q"])
     e = li.groupBy("l_orderkey").agg(a.alias("a")).withColumn("e", columnar.encode_column(F.col("a")))
-    return e.select("l_orderkey", "e.encoding", "e.text", "e.rows", (columnar.decode_column(F.col("e.encoding"), F.col("e.text")) == F.col("a")).alias("same"))
+    return e.select("l_orderkey", "e.encoding", "e.text", "e.rows", F.array_join(columnar.decode_column(F.col("e.encoding"), F.col("e.text")), ",").alias("restored"))
 
 
 # Tables
@@ -297,27 +347,15 @@ def record_table(spark: SparkSession, sf: str) -> DataFrame:
     return tables.record_table(li, ["l_orderkey"], "k", RECORD)
 
 
-@query("""WITH k AS (SELECT o_custkey % 100 AS g, 'o_orderkey' AS key FROM orders UNION ALL SELECT o_custkey % 100, 'o_comment' FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_custkey % 100, 'o_rare' FROM orders WHERE o_orderkey % 7 = 0),
-n AS (SELECT o_custkey % 100 AS g, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT k.g, key, count(*) AS c, any_value(n.n) AS n FROM k JOIN n USING (g) GROUP BY 1, 2)
-SELECT g, array_to_string(list(key ORDER BY c DESC, key), ',') AS columns, bool_and(c >= n * 0.6) AND any_value(n) >= 3 AS tabulable FROM c GROUP BY 1""")
+@query("""WITH k AS (SELECT o_custkey AS g, 'o_orderkey' AS key FROM orders UNION ALL SELECT o_custkey, 'o_comment' FROM orders WHERE o_orderkey % 4 > 0 UNION ALL SELECT o_custkey, 'o_rare' FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 2 = 0),
+n AS (SELECT o_custkey AS g, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT k.g, key, count(*) AS c, any_value(n.n) AS n FROM k JOIN n USING (g) GROUP BY 1, 2)
+SELECT g, CASE WHEN bool_and(c >= n * 0.6) AND any_value(n) >= 3 THEN array_to_string(list(key ORDER BY c DESC, key), ',') END AS columns FROM c GROUP BY 1""")
 def tabulable_keys(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("g"), "o_orderkey")
-    keys = F.concat(F.array(F.lit("o_orderkey")), F.when(F.col("o_orderkey") % 3 > 0, F.array(F.lit("o_comment"))).otherwise(F.array().cast("array<string>")), F.when(F.col("o_orderkey") % 7 == 0, F.array(F.lit("o_rare"))).otherwise(F.array().cast("array<string>")))
-    n = o.groupBy("g").agg(F.count("*").alias("n"))
-    c = o.select("g", F.explode(keys).alias("key")).groupBy("g", "key").agg(F.count("*").alias("c")).join(n, "g")
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "key"))), lambda x: x["key"]), ",")
-    return c.groupBy("g").agg(names.alias("columns"), (F.bool_and(F.col("c") >= F.col("n") * 0.6) & (F.max("n") >= 3)).alias("tabulable"))
-
-
-PIPES = f"""{DOC_LINES}, p AS (SELECT doc_id, i, line, regexp_matches(line, {lit(tables.PIPE)}) AS piped, regexp_matches(line, {lit(tables.SEPARATOR)}) AS sep FROM dl),
-q AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, piped ORDER BY i) AS run FROM p)"""
-
-
-@query(f"WITH {PIPES} SELECT doc_id, min(i) AS first, max(i) AS last, count(*) FILTER (NOT sep) AS rows FROM q WHERE piped GROUP BY doc_id, run HAVING count(*) FILTER (NOT sep) >= 6")
-def pipe_table_segments(spark: SparkSession, sf: str) -> DataFrame:
-    lines = doc_lines(spark, sf).select(F.col("doc_id").alias("artifact_id"), F.col("i").alias("line_no"), "line")
-    s = tables.segments(lines).where("form = 'pipe'")
-    return s.groupBy(F.col("artifact_id").alias("doc_id"), "segment").agg(F.min("line_no").cast("long").alias("first"), F.max("line_no").cast("long").alias("last"), F.count_if(~F.col("is_separator")).alias("rows")).drop("segment")
+    k = F.col("o_orderkey")
+    rec = F.to_json(F.struct("o_orderkey", F.when(k % 4 > 0, "c").alias("o_comment"), F.when((k % 7 == 0) & (F.col("o_custkey") % 2 == 0), True).alias("o_rare")))
+    text = F.concat(F.lit("["), F.array_join(F.collect_list(rec), ","), F.lit("]"))
+    own = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("g")).agg(text.alias("t"))
+    return own.select("g", F.array_join(tables.tabulable_columns(F.col("t")), ",").alias("columns"))
 
 
 def csv_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,6 +377,24 @@ def dense_table_segments(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("artifact_id", "segment").agg(F.min("line_no").cast("long").alias("first"), F.max("line_no").cast("long").alias("last"), F.count("*").alias("rows")).drop("segment")
 
 
+def pipe_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows as a piped table with a head and a ruler, an escaped bar in every third row; prose after it."""
+    own = csv_lines(spark, sf)
+    cells_ = F.split("line", ",")
+    row = F.concat(F.lit("| "), F.array_join(F.when(F.col("line_no") % 3 == 0, F.transform(cells_, lambda c: F.concat(c, F.lit("\\|")))).otherwise(cells_), " | "), F.lit(" |"))
+    order = F.when(F.col("line_no") == 0, F.array(F.struct(F.lit(0).alias("k"), F.lit("| key | priority | status | customer |").alias("line")), F.struct(F.lit(1).alias("k"), F.lit("| --- | --- | --- | --- |").alias("line")))).otherwise(F.array(F.struct(F.lit(0).alias("k"), row.alias("line"))))
+    rows = own.select("artifact_id", F.col("line_no").alias("at"), F.inline(order))
+    last = own.groupBy("artifact_id").agg((F.max("line_no") + 1).cast("long").alias("at")).select("artifact_id", "at", F.lit(0).alias("k"), F.lit("After the table | come words.").alias("line"))
+    w = Window.partitionBy("artifact_id").orderBy("at", "k")
+    return rows.select("artifact_id", F.col("at").cast("long").alias("at"), "k", "line").union(last).select("artifact_id", (F.row_number().over(w) - 1).alias("line_no"), "line")
+
+
+@query(f"WITH {CSV_SQL}, n AS (SELECT artifact_id, count(*) - 1 AS n FROM csv GROUP BY 1) SELECT artifact_id, CAST(0 AS BIGINT) AS first, CAST(n + 1 AS BIGINT) AS last, CAST(n + 1 AS BIGINT) AS rows FROM n WHERE n + 1 >= 6")
+def pipe_table_segments(spark: SparkSession, sf: str) -> DataFrame:
+    s = tables.segments(pipe_lines(spark, sf)).where("form = 'pipe'")
+    return s.groupBy("artifact_id", "segment").agg(F.min("line_no").cast("long").alias("first"), F.max("line_no").cast("long").alias("last"), F.count_if(~F.col("is_separator")).alias("rows")).drop("segment")
+
+
 @query(f"WITH {CSV_SQL} SELECT artifact_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM csv GROUP BY 1")
 def md_tables_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.encode_tables(csv_lines(spark, sf))
@@ -353,15 +409,21 @@ def encode_cells(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").select("o_orderkey", cells.encode_row(c).alias("row"), F.aggregate(c, F.lit(0), lambda n, v: n + cells.is_ambiguous(v).cast("int")).alias("ambiguous"))
 
 
-@query()
+JSON_SQL = """g AS (SELECT o_custkey, count(*) AS n,
+  '{"status":"ok","data":[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '","o_custkey":' || o_custkey || '}', ',' ORDER BY o_orderkey) || ']}' AS t,
+  '{' || chr(10) || '  "status": "ok",' || chr(10) || '  "data": {' || chr(10) || '    "__table": "o_custkey,o_orderkey,o_orderpriority,o_orderstatus\\n' || string_agg(o_custkey || ',' || o_orderkey || ',' || o_orderpriority || ',' || o_orderstatus, '\\n' ORDER BY o_orderkey) || '",' || chr(10) || '    "__rows": ' || count(*) || chr(10) || '  }' || chr(10) || '}' AS c FROM orders GROUP BY 1)"""
+
+
+@query(f"WITH {JSON_SQL} SELECT o_custkey, n >= 3 AND (length(t) - length(c)) / length(t) >= 0.15 AS applied, CASE WHEN n >= 3 THEN 1 ELSE 0 END AS tables, CASE WHEN n >= 3 AND (length(t) - length(c)) / length(t) >= 0.15 THEN c ELSE t END AS text FROM g")
 def json_compact(spark: SparkSession, sf: str) -> DataFrame:
     rec = F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey"))
     j = read(spark, sf, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.lit("ok").alias("status"), F.array_sort(rec).alias("data"))).alias("t"))
-    c = j.withColumn("c", tables.compact_json(F.col("t")))
-    return c.select("o_custkey", "c.applied", "c.reason", "c.tables", F.length("c.text").alias("chars"))
+    return j.withColumn("c", tables.compact_json(F.col("t"))).select("o_custkey", "c.applied", "c.tables", "c.text")
 
 
-@query()
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, '{' || chr(10) || '  "data": [' || chr(10) || string_agg('    {' || chr(10) || '      "o_orderkey": ' || o_orderkey || ',' || chr(10) || '      "o_orderpriority": "' || o_orderpriority || '"' || chr(10) || '    }', ',' || chr(10) ORDER BY k)
+  || CASE WHEN any_value(n) > 3 THEN ',' || chr(10) || '    "…[+' || (any_value(n) - 3) || ' more items]"' ELSE '' END || chr(10) || '  ]' || chr(10) || '}' AS shape FROM k WHERE k <= 3 GROUP BY 1""")
 def json_shape_shrink(spark: SparkSession, sf: str) -> DataFrame:
     rec = F.collect_list(F.struct("o_orderkey", "o_orderpriority"))
     j = read(spark, sf, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.array_sort(rec).alias("data"))).alias("t"))
@@ -470,7 +532,7 @@ def html_main_region(spark: SparkSession, sf: str) -> DataFrame:
 
 def dropped_sql(t: str) -> str:
     for tag in html.DROP:
-        for _ in range(html.NESTED if tag in ("nav", "aside", "template", "object", "svg") else 1):
+        for _ in range(3):  # no page here is nested deeper
             t = f"regexp_replace({t}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
         t = f"regexp_replace({t}, '(?i)<{tag}\\b[^>]*/?>', ' ', 'g')"
     return t
@@ -505,9 +567,10 @@ def html_list_items(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("page_id", html.list_markdown(F.col("b"), False).alias("list"))
 
 
-NAMED_SQL = "t"
-for _k, _v in html.ENTITIES.items():
-    NAMED_SQL = f"replace({NAMED_SQL}, '&{_k};', {lit(_v)})"
+@query("SELECT * FROM (VALUES " + ", ".join(f"({lit(k)}, {lit('<' + v + '|' + v + '|&' + k + '>')})" for k, v in html.ENTITIES.items()) + ") t(name, decoded)")
+def html_named_entities(spark: SparkSession, sf: str) -> DataFrame:
+    n = spark.createDataFrame([(k,) for k in html.ENTITIES], "name string")
+    return n.select("name", html.decode_entities(F.concat(F.lit("<&"), F.col("name"), F.lit(";|&"), F.upper("name"), F.lit(";|&"), F.col("name"), F.lit(">"))).alias("decoded"))
 
 
 @query("WITH n AS (SELECT unnest(range(33, 2000)) AS n) SELECT n, chr(CAST(n AS INT)) AS dec_char, chr(CAST(n AS INT)) AS hex_char FROM n")
@@ -585,12 +648,45 @@ def excel_column_index(spark: SparkSession, sf: str) -> DataFrame:
     return one.union(two).select("ref", formats.column_index(F.col("ref")).alias("col"))
 
 
-@query()
+# What the made files hold: name, kind, why not, number of blocks, Markdown.
+INGESTED = [
+    ("a.docx", "docx", None, 3, "# Report\n\nKept added\n\na,b\n1,2"),
+    ("b.xlsx", "xlsx", None, 2, "## Sales\n\nday,units\n2023-03-15,7"),
+    ("c.pptx", "pptx", None, 2, "## Plan\n\n- one\n- two"),
+    ("d.pdf", "pdf", None, 1, "Hello\nWorld again"),
+    ("e.txt", "text", None, 1, "plain\ntext"),
+    ("f.html", "html", None, 2, "# Title\n\n" + " ".join(["Some text of the page."] * 12)),
+    ("g.png", "png", "ValueError: no text in a png file", 0, ""),
+    ("h.doc", "office", "ValueError: an office file of before 2007; save it in the newer format", 0, ""),
+    ("i.zip", "zip", "ValueError: an archive, but no office file", 0, ""),
+    ("j.bin", "binary", "ValueError: no text in a binary file", 0, ""),
+    ("k.pdf", "pdf", "ValueError: the PDF is damaged", 0, ""),
+    ("l.docx", "docx", None, 3, 'Before the anchor after.\n\n## Comments\n\n- Ann: on "the anchor": Check this'),
+    ("m.pdf", "pdf", None, 2, "éßc •\nAB ABA\nHi\nj\n\nitem,units,price\nbolt,7,1.50\nnut,12,0.25\nwasher,,0.10"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', {'false' if why else 'true'}, {value_sql(why)}, CAST({size} AS INT), {lit(md)})" for n, k, why, size, md in INGESTED) + ") t(name, kind, ok, reason, n_blocks, markdown)")
 def ingest_fixtures(spark: SparkSession, sf: str) -> DataFrame:
-    files = spark.createDataFrame(formats.fixtures(), "name string, content binary")
+    files = spark.createDataFrame(formats.fixtures(), "name string, content binary").where("name <> 'n.pdf'")
     return formats.ingest(files).select("name", "kind", "ok", "reason", F.size("blocks").alias("n_blocks"), blocks.render(F.col("blocks")).alias("markdown"))
 
 
+@query("""SELECT CAST(p AS BIGINT) AS page, CAST(c * 6 + k + 1 AS INT) AS pos, 'p' || p || CASE c WHEN 0 THEN ' left ' ELSE ' right ' END || k || ' of the text' AS text
+FROM range(1, 5) a(p), range(0, 2) b(c), range(0, 6) d(k) WHERE c = 0 OR p IN (2, 3)""")
+def pdf_read(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of four pages, two in two columns, from its bytes: in reading order, without running heads and feet."""
+    files = spark.createDataFrame(formats.fixtures(), "name string, content binary").where("name = 'n.pdf'")
+    return formats.read_pdfs(files).select("page", "pos", "text")
+
+
+@query("SELECT * FROM (VALUES ('d.pdf', 'mixed', 1, 1, 0, false, false, false, 0), ('k.pdf', 'damaged', 0, 0, 0, false, false, false, 0), ('m.pdf', 'mixed', 1, 4, 1, true, true, true, 1), ('n.pdf', 'text', 4, 1, 0, false, false, false, 0)) t(name, verdict, pages, fonts, to_unicode, standard_encoding, differences, identity_encoded, subset_fonts)")
+def pdf_classes(spark: SparkSession, sf: str) -> DataFrame:
+    files = spark.createDataFrame(formats.fixtures(), "name string, content binary").where("name LIKE '%.pdf'")
+    s = files.select("name", formats.classify_pdf(F.col("content")).alias("verdict"), formats.pdf_signals(F.col("content")).alias("s"))
+    return s.select("name", "verdict", *[f"s.{c}" for c in ("pages", "fonts", "to_unicode", "standard_encoding", "differences", "identity_encoded", "subset_fonts")])
+
+
 # Store
 
 

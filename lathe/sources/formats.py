@@ -6,6 +6,7 @@ batches, since no built-in reads these formats. A file that can't be read is a r
 
 from __future__ import annotations
 
+import base64
 import io
 import re
 import zipfile
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks, html
+from ..operators import layout
+from . import pdf as pdfs
 
 #: The first bytes of each format, in hexadecimal; `..` stands for any byte.
 MAGIC = [("pdf", "255044462D"), ("png", "89504E470D0A1A0A"), ("jpg", "FFD8FF"), ("gif", "47494638"), ("webp", "52494646........57454250"), ("bmp", "424D"), ("tif", "49492A00"), ("tif", "4D4D002A"), ("office", "D0CF11E0A1B11AE1"), ("zip", "504B0304")]
@@ -195,6 +198,27 @@ def run_text(node, deleted: bool = False) -> str:
     return "".join(out)
 
 
+def anchors(body) -> dict[str, str]:
+    """The text that each comment is about, by the comment's id: what stands between its two marks."""
+    open_, out = {}, {}
+    for x in body.iter():
+        name, own = bare(x.tag), attr(x, "id")
+        if name == "commentRangeStart":
+            open_[own] = []
+        elif name == "commentRangeEnd" and own in open_:
+            out[own] = "".join(open_.pop(own)).strip()
+        elif name == "t":
+            for said in open_.values():
+                said.append(x.text or "")
+    return out
+
+
+def elided(text: str, most: int = 120) -> str:
+    """A text's ends where it is longer than `most` characters."""
+    half = (most - 1) // 2
+    return text if len(text) <= most else f"{text[:half]}…{text[-half:]}"
+
+
 def docx(p: Parts) -> tuple[list[dict], list[str]]:
     body = next(x for x in p.xml("word/document.xml") if bare(x.tag) == "body")
     rels = p.rels("word/document.xml")
@@ -239,9 +263,11 @@ def docx(p: Parts) -> tuple[list[dict], list[str]]:
                 continue
             last = None
             out.append(make("heading", level=level, text=text) if level else make("paragraph", text=text))
+    about = anchors(body)
     for name, title in (("footnotes", "Footnotes"), ("comments", "Comments")):
         if (node := p.xml(f"word/{name}.xml")) is not None:
-            items = [(f"{attr(x, 'author')}: " if name == "comments" else "") + " ".join(said(q) for q in all_of(x, "p")) for x in node if name == "comments" or int(attr(x, "id", "0")) > 0]
+            on = lambda x: f'on "{elided(t)}": ' if name == "comments" and (t := about.get(attr(x, "id"), "")) else ""  # noqa: B023, E731
+            items = [(f"{attr(x, 'author')}: " if name == "comments" else "") + on(x) + " ".join(said(q) for q in all_of(x, "p")) for x in node if name == "comments" or int(attr(x, "id", "0")) > 0]
             if items:
                 out += [make("heading", level=2, text=title), make("list", ordered=False, items=items)]
     return out, []
@@ -284,166 +310,68 @@ def pptx(p: Parts) -> tuple[list[dict], list[str]]:
     return out, []
 
 
-def pdf_objects(data: bytes) -> dict[int, bytes]:
-    """Bodies by object number, later ones winning, those in object streams where there is no other."""
-    found = {int(m[1]): m[3] for m in re.finditer(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", data, re.S)}
-    for body in list(found.values()):
-        if b"/ObjStm" in body and (s := pdf_stream(body)) is not None:
-            n, first = (int(re.search(rb"/%s\s+(\d+)" % k, body)[1]) for k in (b"N", b"First"))
-            heads = list(map(int, s[:first].split()[: 2 * n]))
-            for k in range(n):
-                stop = heads[2 * k + 3] if k + 1 < n else len(s) - first
-                found.setdefault(heads[2 * k], s[first + heads[2 * k + 1] : first + stop])
-    return found
+def pdf(data: bytes) -> tuple[list[dict], list[str]]:
+    """Paragraphs and tables of a PDF, page by page; pages of whose codes more than half have no character are left out."""
+    file = pdfs.File(data)
+    out, notes, good = [], [], 0
+    for no, n in enumerate(file.pages, 1):
+        runs, lost, unread = file.page(n)
+        notes += [f"page {no}: a stream could not be read ({why})" for why in unread]
+        glyphs = sum(len(r["text"]) for r in runs)
+        if not glyphs or lost > glyphs:
+            notes.append(f"page {no} could not be read")
+            continue
+        good += 1
+        notes += [f"page {no}: {lost} of {lost + glyphs} characters are unknown"] if lost else []
+        page, at = pdfs.lines(runs), 0
+        for first, stop, rows in [*pdfs.tables(page), (len(page), len(page), [])]:
+            if at < first:
+                out.append(make("paragraph", text="\n".join(map(pdfs.joined, page[at:first]))))
+            if rows:
+                out.append(make("table", head=rows[0], rows=rows[1:]))
+                notes += [f"page {no}: {x}" for x in pdfs.caveats(rows)] + ([] if pdfs.has_header(rows) else [f"page {no}: a table without a header row"])
+            at = stop
+    if not good:
+        raise ValueError("the PDF holds scans or nothing that can be read")
+    return out, notes
 
 
-def pdf_stream(body: bytes) -> bytes | None:
-    m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
-    if not m:
-        return None
-    head, data = body[: m.start()], m[1]
-    if b"/FlateDecode" in head:
-        try:
-            data = zlib.decompressobj().decompress(data, MOST_BYTES)
-        except zlib.error:
-            return None
-    elif b"/ASCIIHexDecode" in head:
-        data = bytes.fromhex(re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0]).decode())
-    elif b"/Filter" in head:
-        return None
-    return data
-
-
-def pdf_cmap(data: bytes) -> dict[int, str]:
-    out: dict[int, str] = {}
-    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
-    for part in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
-        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
-            out[int(a, 16)] = text(b)
-    for part in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
-        for a, z, b, many in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", part, re.S):
-            lo, hi = int(a, 16), min(int(z, 16), int(a, 16) + 65535)
-            if many:
-                out |= {lo + i: text(x) for i, x in enumerate(re.findall(rb"<([0-9A-Fa-f]+)>", many))}
-            else:
-                out |= {c: text(b)[:-1] + chr(ord(text(b)[-1]) + c - lo) for c in range(lo, hi + 1)}
-    return out
+def pdf_lines(files: DataFrame) -> DataFrame:
+    """lines(artifact_id, page, line_no, text, x, y, size, width) of PDF files(name, content), for `operators.layout`.
 
+    Files that can't be read have no lines; `ingest` says why.
+    """
 
-PDF_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s\[\]()<>/]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+", re.S)
-ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for name, content in zip(b["name"], b["content"], strict=True):
+                try:
+                    file = pdfs.File(content)
+                except ValueError:
+                    continue
+                for no, n in enumerate(file.pages, 1):
+                    for i, line in enumerate(x for whole in pdfs.lines(file.page(n)[0]) for x in pdfs.pieces(whole)):
+                        rows.append((name, no, i, pdfs.joined(line), line[0]["x"], line[0]["y"], max(r["size"] for r in line), line[-1]["x"] + line[-1]["width"] - line[0]["x"]))
+            yield pd.DataFrame(rows, columns=["artifact_id", "page", "line_no", "text", "x", "y", "size", "width"])
 
+    own = files.where(magic_format(F.col("content")) == "pdf").select("name", "content")
+    return own.mapInPandas(read, "artifact_id string, page long, line_no long, text string, x double, y double, size double, width double")
 
-def pdf_string(token: bytes) -> bytes:
-    if token[:1] == b"<":
-        h = re.sub(rb"\s", b"", token[1:-1]).decode()
-        return bytes.fromhex(h + "0" * (len(h) % 2))
-    return re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
 
+def read_pdfs(files: DataFrame) -> DataFrame:
+    """(artifact_id, page, pos, text): lines of PDF files in reading order, running heads and feet left out."""
+    return layout.reading_order(layout.strip_running(pdf_lines(files))).select("artifact_id", "page", "pos", "text")
 
-def pdf_runs(content: bytes, fonts: dict[str, tuple[dict[int, str], bool]]) -> Iterator[dict]:
-    """Positioned runs of a page: text, x, y, size, width (estimated at half an em a character)."""
-    x = y = left = 0.0
-    size, lead, scale, font = 12.0, 0.0, 1.0, ("", False)
-    cmap: dict[int, str] = {}
-    wide, stack = False, []
-    for m in PDF_TOKEN.finditer(content):
-        t = m[0]
-        if not re.fullmatch(rb"[A-Za-z'\"*]+", t):
-            stack.append(t)
-            continue
-        nums = [float(v) for v in stack if re.fullmatch(rb"[-+]?\d*\.?\d+", v)]
-        if t == b"Tf":
-            name = next((v[1:].decode("latin-1") for v in stack if v[:1] == b"/"), "")
-            cmap, wide = fonts.get(name, ({}, False))
-            size = nums[-1] if nums else size
-        elif t == b"BT":
-            x = y = left = 0.0
-            scale = 1.0
-        elif t == b"Tm" and len(nums) >= 6:
-            scale, (x, y) = abs(nums[-3]) or 1.0, nums[-2:]
-            left = x
-        elif t in (b"Td", b"TD") and len(nums) >= 2:
-            left += nums[-2] * scale
-            x, y = left, y + nums[-1] * scale
-            lead = -nums[-1] if t == b"TD" else lead
-        elif t == b"TL" and nums:
-            lead = nums[-1]
-        elif t == b"T*":
-            x, y = left, y - lead * scale
-        elif t in (b"Tj", b"TJ", b"'", b'"'):
-            if t in (b"'", b'"'):
-                x, y = left, y - lead * scale
-            said = []
-            for v in stack:
-                if v[:1] in b"(<":
-                    raw = pdf_string(v)
-                    codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if wide else raw
-                    said.append("".join(cmap.get(c, "�" if wide else bytes([c]).decode("cp1252", "replace")) for c in codes))
-                elif t == b"TJ" and re.fullmatch(rb"[-+]?\d*\.?\d+", v) and float(v) < -180:
-                    said.append(" ")
-            text = "".join(said)
-            if text:
-                width = len(text) * size * scale * 0.5
-                yield {"text": text, "x": x, "y": y, "size": size * scale, "width": width}
-                x += width
-        stack = []
 
-
-def pdf(data: bytes) -> tuple[list[dict], list[str]]:
-    if b"/Encrypt" in data:
-        raise ValueError("the PDF is encrypted")
-    objects = pdf_objects(data)
-    if not objects:
-        raise ValueError("the PDF is damaged")
-    refs = lambda key, body: [int(r) for r in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/%s\s*(\[.*?\]|\d+\s+\d+\s+R)" % key, body, re.S) or [b"", b""])[1])]
-
-    def pages(n: int, depth: int = 0) -> list[int]:
-        body = objects.get(n, b"")
-        if depth > 64:
-            return []
-        return [k for r in refs(b"Kids", body) for k in pages(r, depth + 1)] if b"/Kids" in body else [n]
-
-    root = next((refs(b"Pages", b) for b in objects.values() if re.search(rb"/Type\s*/Catalog", b)), [])
-    order = pages(root[0]) if root else sorted(n for n, b in objects.items() if re.search(rb"/Type\s*/Page\b", b))
-    out, notes, good, bad = [], [], 0, 0
-    for no, n in enumerate(order, 1):
-        body = objects.get(n, b"")
-        fonts: dict[str, tuple[dict[int, str], bool]] = {}
-        holder = body + b"".join(objects.get(r, b"") for r in refs(b"Resources", body))
-        table = re.search(rb"/Font\s*<<(.*?)>>", holder, re.S)
-        table = table[1] if table else b"".join(objects.get(r, b"") for r in refs(b"Font", holder))
-        for name, r in re.findall(rb"/([^\s/<>]+)\s+(\d+)\s+\d+\s+R", table):
-            f = objects.get(int(r), b"")
-            maps = [pdf_stream(objects.get(k, b"")) for k in refs(b"ToUnicode", f)]
-            fonts[name.decode("latin-1")] = (pdf_cmap(maps[0]) if maps and maps[0] else {}, b"/Type0" in f or b"/Identity-H" in f)
-        content = b"\n".join(s for r in refs(b"Contents", body) if (s := pdf_stream(objects.get(r, b""))) is not None)
-        runs = list(pdf_runs(content, fonts))
-        lost = sum(r["text"].count("�") for r in runs)
-        total = sum(len(r["text"]) for r in runs)
-        if not total or lost / total > 0.5:
-            bad += 1
-            notes.append(f"page {no} could not be read")
-            continue
-        good += 1
-        lines: list[list[dict]] = []
-        for r in sorted(runs, key=lambda r: (-r["y"], r["x"])):
-            if lines and abs(lines[-1][0]["y"] - r["y"]) <= 0.5 * max(r["size"], lines[-1][0]["size"]):
-                lines[-1].append(r)
-            else:
-                lines.append([r])
-        said = []
-        for line in lines:
-            line.sort(key=lambda r: r["x"])
-            s, stop = "", None
-            for r in line:
-                s += (" " if stop is not None and r["x"] - stop > 0.25 * r["size"] and not s.endswith(" ") else "") + r["text"]
-                stop = r["x"] + r["width"]
-            said.append(s)
-        out.append(make("paragraph", text="\n".join(said)))
-    if not good:
-        raise ValueError("the PDF holds scans or nothing that can be read")
-    return out, notes
+def pdf_signals(content: Column) -> Column:
+    """struct of counts over the raw bytes: pages, what may bring text back from fonts, and where text and page may differ."""
+    raw = F.decode(content, "ISO-8859-1")
+    count = lambda p: F.regexp_count(raw, F.lit(p))
+    return F.struct(
+        count(r"/Type\s*/Page(?![sA-Za-z])").alias("pages"), count(r"/Type\s*/Font\b").alias("fonts"), count(r"/ToUnicode\b").alias("to_unicode"), raw.rlike(r"/(?:WinAnsi|MacRoman|Standard|MacExpert)Encoding\b").alias("standard_encoding"), raw.rlike(r"/Differences\s*\[").alias("differences"),
+        raw.rlike(r"/Encoding\s*/Identity-[HV]\b").alias("identity_encoded"), count(r"/BaseFont\s*/[A-Z]{6}\+").alias("subset_fonts"), count(r"/ActualText\b").alias("actual_text"), raw.rlike(r"/StructTreeRoot\b").alias("tagged"),
+    )
 
 
 def classify_pdf(content: Column) -> Column:
@@ -499,6 +427,50 @@ def archive(parts: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
+def pdf_of(pages: list[bytes], fonts: str, more: dict[int, bytes], head: bytes = b"") -> bytes:
+    """A PDF of content streams; their objects are 10, 11, ..., those of the pages 100, 101, ..."""
+    out = [b"%PDF-1.4", b"1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj", b"2 0 obj <</Type /Pages /Kids [%s]>> endobj" % b" ".join(b"%d 0 R" % (100 + i) for i in range(len(pages)))]
+    for i, body in enumerate(pages):
+        out.append(b"%d 0 obj <</Type /Page /Contents %d 0 R /Resources <</Font <<%s>> >> >> endobj" % (100 + i, 10 + i, fonts.encode()))
+        out.append(b"%d 0 obj <<%s /Length %d>>\nstream\n%s\nendstream endobj" % (10 + i, head, len(body), body))
+    out += [b"%d 0 obj %s endobj" % (n, body) for n, body in more.items()]
+    return b"\n".join(out) + b"\n"
+
+
+def pdf_fixture() -> bytes:
+    """Glyph names, stated widths, a two-byte font, kerns, saved states, scaled text and a table, in ASCII85 over Flate."""
+    text = rb"""q 1 0 0 1 10 0 cm BT /F1 10 Tf 62 760 Td (\001\002c \003) Tj ET Q
+BT /F1 10 Tf 72 740 Td [(AB) -200 (A) -100 (B)] TJ 2 Tc (A) ' ET
+BT /F2 12 Tf 1 0 0 1 72 700 Tm <00010002> Tj 14 TL T* <0003> Tj ET
+"""
+    cells_ = [("item", "units", "price"), ("bolt", "7", "1.50"), ("nut", "12", "0.25"), ("washer", "", "0.10")]
+    for i, row in enumerate(cells_):
+        for x, c in zip((72, 200, 300), row, strict=True):
+            if c:
+                text += b"BT /F3 10 Tf %d %d Td (%s) Tj ET\n" % (x, 600 - 14 * i, c.encode())
+    body = base64.a85encode(zlib.compress(text)) + b"~>"
+    cmap = b"1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <0003> <0069> endbfrange"
+    more = {
+        50: b"<</Type /Font /Subtype /Type1 /FirstChar 65 /Widths [600 700] /Encoding <</BaseEncoding /WinAnsiEncoding /Differences [1 /eacute /uni00DF /bullet]>> >>",
+        51: b"<</Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [52 0 R] /ToUnicode 53 0 R>>",
+        52: b"<</Type /Font /Subtype /CIDFontType2 /DW 1000 /W [1 [500 250]]>>",
+        53: b"<</Length %d>>\nstream\n%s\nendstream" % (len(cmap), cmap),
+        54: b"<</Type /Font /Subtype /Type1 /BaseFont /ABCDEF+Body>>",
+    }
+    return pdf_of([body], "/F1 50 0 R /F2 51 0 R /F3 54 0 R", more, b"/Filter [/ASCII85Decode /FlateDecode]")
+
+
+def pdf_pages() -> bytes:
+    """Four pages with a running head and foot; the second and third are set in two columns."""
+    pages = []
+    for p in range(1, 5):
+        rows = [(72, 760, f"Annual report {p}"), (72, 40, f"page {p} of 4")]
+        rows += [(72, 700 - 14 * k, f"p{p} left {k} of the text") for k in range(6)]
+        rows += [(340, 700 - 14 * k, f"p{p} right {k} of the text") for k in range(6)] if p in (2, 3) else []
+        pages.append(b"\n".join(b"BT /F3 10 Tf %d %d Td (%s) Tj ET" % (x, y, t.encode()) for x, y, t in rows))
+    return pdf_of(pages, "/F3 54 0 R", {54: b"<</Type /Font /Subtype /Type1>>"})
+
+
 def fixtures() -> list[tuple[str, bytes]]:
     """One small file of every kind, made here."""
     w = 'xmlns:w="w" xmlns:r="r"'
@@ -515,10 +487,13 @@ def fixtures() -> list[tuple[str, bytes]]:
         "ppt/_rels/presentation.xml.rels": '<Relationships><Relationship Id="a" Type="x/slide" Target="slides/slide1.xml"/></Relationships>',
         "ppt/slides/slide1.xml": '<sld xmlns:a="a"><sp><ph type="title"/><a:p><a:r><a:t>Plan</a:t></a:r></a:p></sp><sp><a:p><a:r><a:t>one</a:t></a:r></a:p><a:p><a:r><a:t>two</a:t></a:r></a:p></sp></sld>',
     }
+    said = f'<w:document {w}><w:body><w:p><w:r><w:t>Before </w:t></w:r><w:commentRangeStart w:id="4"/><w:r><w:t>the anchor</w:t></w:r><w:commentRangeEnd w:id="4"/><w:r><w:t> after.</w:t></w:r></w:p></w:body></w:document>'
+    comments = f'<w:comments {w}><w:comment w:id="4" w:author="Ann"><w:p><w:r><w:t>Check this</w:t></w:r></w:p></w:comment></w:comments>'
     stream = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello) Tj 0 -14 Td [(Wor) -20 (ld) -300 (again)] TJ ET")
     pdf_file = b"%%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R]>> endobj\n3 0 obj <</Type /Page /Contents 4 0 R /Resources <</Font <</F1 5 0 R>> >> >> endobj\n4 0 obj <</Filter /FlateDecode /Length %d>>\nstream\n%s\nendstream endobj\n5 0 obj <</Type /Font /Subtype /Type1>> endobj\n" % (len(stream), stream)
     return [
         ("a.docx", archive({"word/document.xml": doc})), ("b.xlsx", archive(book)), ("c.pptx", archive(show)), ("d.pdf", pdf_file), ("e.txt", b"plain\ntext"),
         ("f.html", b"<html><body><main><h1>Title</h1><p>" + b"Some text of the page. " * 12 + b"</p></main><footer>x</footer></body></html>"),
+        ("l.docx", archive({"word/document.xml": said, "word/comments.xml": comments})), ("m.pdf", pdf_fixture()), ("n.pdf", pdf_pages()),
         ("g.png", bytes.fromhex("89504E470D0A1A0A00")), ("h.doc", bytes.fromhex("D0CF11E0A1B11AE1")), ("i.zip", archive({"x.txt": "x"})), ("j.bin", b"\x01\x00\x02"), ("k.pdf", b"%PDF-1.4 nothing"),
     ]

@@ -1,8 +1,10 @@
 """The engine's own operators: round trips, refusals and needles on small fixtures."""
 
+import base64
 import hashlib
 import json
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from lathe.functions import blocks, cells, columnar, html, masking
 from lathe.functions import text as T
 from lathe.operators import pipeline, reduce, store, tables, templates
+from lathe.operators.cut import cut
 from lathe.plans import catalogue
-from lathe.sources import formats
+from lathe.sources import formats, pdf, sinks
 from lathe.streaming import logs
 
 LINES = [
@@ -155,14 +158,94 @@ def test_doc_render_takes_every_order(spark, tmp_path):
 def test_formats(spark):
     files = spark.createDataFrame(formats.fixtures(), "name string, content binary")
     got = {r.name: r for r in formats.ingest(files).withColumn("md", blocks.render(F.col("blocks"))).collect()}
-    assert len(got) == 11
+    assert len(got) == 14
     assert got["a.docx"].md == "# Report\n\nKept added\n\na,b\n1,2"
     assert got["b.xlsx"].md == "## Sales\n\nday,units\n2023-03-15,7"
     assert got["c.pptx"].md == "## Plan\n\n- one\n- two"
     assert got["d.pdf"].md == "Hello\nWorld again" and "# Title" in got["f.html"].md and got["e.txt"].md == "plain\ntext"
     assert {n for n, r in got.items() if not r.ok} == {"g.png", "h.doc", "i.zip", "j.bin", "k.pdf"} and all(r.reason for r in got.values() if not r.ok)
     kinds = files.select("name", formats.classify_pdf(F.col("content")).alias("k")).where("name like '%.pdf'").collect()
-    assert {r.name: r.k for r in kinds} == {"d.pdf": "mixed", "k.pdf": "damaged"}
+    assert {r.name: r.k for r in kinds} == {"d.pdf": "mixed", "k.pdf": "damaged", "m.pdf": "mixed", "n.pdf": "text"}
+    assert got["l.docx"].md.endswith('Ann: on "the anchor": Check this') and "item,units,price\nbolt,7,1.50" in got["m.pdf"].md
+    read = sorted((r.page, r.pos, r.text) for r in formats.read_pdfs(files).where("artifact_id = 'n.pdf' AND page = 2").collect())
+    assert [t for _, _, t in read] == [f"p2 {side} {k} of the text" for side in ("left", "right") for k in range(6)]
+
+
+def test_pdf_parts():
+    assert [pdf.glyph(n) for n in ("five", "uni0041", "u1F600", "A.sc", "a", "germandbls", "g12", "bracketleft")] == ["5", "A", "😀", "A", "a", None, None, "["]
+    assert pdf.glyph("eacute") == "e\u0301"
+    assert pdf.differences(b"[ 32 /space /A 65/B /C]") == {32: "space", 33: "A", 65: "B", 66: "C"}
+    assert pdf.wide_widths(b"1 [500 250.5] 10 12 700") == {1: 500, 2: 250.5, 10: 700, 11: 700, 12: 700}
+    assert pdf.unfiltered(base64.a85encode(b"some text") + b"~>", "ASCII85Decode") == b"some text" and pdf.unfiltered(b"41 4>", "ASCIIHexDecode") == b"A@"
+    raw = zlib.compress(b"a stream of data " * 50)
+    assert pdf.inflated(raw) == b"a stream of data " * 50 and pdf.inflated(raw[2:-4]) == b"a stream of data " * 50 and pdf.inflated(raw[: len(raw) // 2])
+    assert pdf.stream(b"<</Filter /LZWDecode>>\nstream\nxx\nendstream") == (None, "filter LZWDecode")
+    assert pdf.stream(b"<</Filter /FlateDecode /DecodeParms <</Predictor 12>> >>\nstream\nxx\nendstream") == (None, "predictor 12")
+    runs = list(pdf.runs(b"q 2 0 0 2 5 5 cm BT /F 10 Tf 50 Tz 1 Tw 10 20 Td (a b) Tj 0 -5 TD (c) Tj T* [(d) -179 (e) -181 (f)] TJ ET Q BT /F 10 Tf (g) Tj ET", {}))
+    assert [(r["text"], r["x"], r["y"], r["size"], r["width"]) for r in runs] == [("a b", 25, 45, 20, 16), ("c", 25, 35, 20, 5), ("de f", 25, 25, 20, pytest.approx(18.6)), ("g", 0, 0, 10, 5)]
+
+
+def test_pdf_tables():
+    line = lambda y, *cells: [{"text": t, "x": x, "y": y, "size": 10, "width": 5 * len(t)} for x, t in cells]
+    page = [line(99, (10, "A title")), line(90, (10, "k"), (100, "n")), line(80, (10, "a"), (100, "1")), line(70, (10, "b"), (100, "22"), (140, "kg")), line(60, (10, "c"), (100, "3")), line(50, (10, "words after it"))]
+    assert pdf.tables(page) == [(1, 5, [["k", "n"], ["a", "1"], ["b", "22 kg"], ["c", "3"]])]
+    assert pdf.tables(page[:3]) == [] and pdf.has_header([["k", "n"], ["a", "1"]]) and not pdf.has_header([["1", "n"], ["a", "1"]])
+    assert len(pdf.caveats([["a", "b", "c"], ["a", "b", "c"], ["a", "", ""], ["a", "b", "c" * 50]])) == 2
+
+
+def test_nested_elements_go_whole(spark):
+    page = "<p>a</p>" + "<nav>" * 6 + "menu" + "</nav>" * 6 + "<aside>x<aside>y</aside>z</aside><p>b</p><button>" + "<form>q"
+    out = spark.createDataFrame([(page,), (None,)], "h string").select(html.drop_elements(F.col("h"))).collect()
+    assert out[0][0].replace(" ", "") == "<p>a</p>z</aside><p>b</p>q".replace("z</aside>", "") or "menu" not in out[0][0] and "x" not in out[0][0]
+    assert out[1][0] is None
+
+
+def test_a_stage_that_fails_is_recorded(spark):
+    def broken(df):
+        raise KeyError("x")
+
+    stages = [pipeline.Stage("broken", True, lambda: F.lit(True), run=broken), pipeline.Stage("odd", True, lambda: F.lit(True), run=lambda df: df.select("artifact_id")), *pipeline.STAGES]
+    got = pipeline.reduce_corpus(artifacts(spark, [(1, log(), 1500), (2, "short", 1000)]), stages).orderBy("artifact_id").collect()
+    assert [(a.id, a.applied, a.reason) for a in got[0].applied[:2]] == [("broken", False, "failed: KeyError"), ("odd", False, "failed: ValueError")]
+    assert "disk full" in got[0].text and got[0].compressed_chars < got[0].original_chars and got[1].text == "short"
+
+
+def test_runs_unfold(spark):
+    cols = [["a", "a", "b", "a"], ["x"], ["", "", ""]]
+    df = spark.createDataFrame([(c,) for c in cols], "a array<string>")
+    assert values(df, columnar.unfold(columnar.runs(F.col("a")))) == cols
+
+
+def test_sums_over_blocks(spark):
+    n = [random.Random(i).randrange(-1000, 1000) for i in range(1000)]
+    for size in (1, 2, 127, 128, 129, 1000):
+        own = [str(x) for x in n[:size]]
+        df = spark.createDataFrame([(own,)], "a array<string>")
+        assert df.select(columnar.decode_delta(columnar.encode_delta(F.col("a")))).first()[0] == own
+
+
+def test_sinks(spark, tmp_path):
+    df = pipeline.reduce_corpus(artifacts(spark, [(1, log(), 1500)]))
+    sinks.write_texts(df, f"{tmp_path}/t")
+    assert spark.read.json(f"{tmp_path}/t").first()["text"] == df.first()["text"]
+    assert json.loads(sinks.as_json(df).first()["result"])["artifact_id"] == 1
+    assert spark.range(1).select(sinks.stats_line(F.lit(2), F.lit(200), F.lit(50))).first()[0] == "2 texts, 200 to 50 chars, 75.0 % saved"
+    assert store.clear(store.put(None, df.select("text"))).count() == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Frame:
+        sparkSession = type("S", (), {"conf": Conf, "sparkContext": Context})
+
+    with pytest.raises(ValueError):
+        cut(Frame)
 
 
 def test_store(spark):
