@@ -80,9 +80,17 @@ def detect_kind(spark: SparkSession, sf: str) -> DataFrame:
     return every.select(T.detect_kind(F.col("t")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {DOC_LINES} SELECT {rank_sql('line')} AS rank, count(*) AS n FROM dl GROUP BY 1")
+def all_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of all documents and logs."""
+    return doc_lines(spark, sf).select("line").union(log_lines(spark, sf).select("line"))
+
+
+ALL_LINES = f"{LOG_SQL}, {DOC_LINES}, every AS (SELECT line FROM dl UNION ALL SELECT line FROM log)"
+
+
+@query(f"WITH {ALL_LINES} SELECT {rank_sql('line')} AS rank, count(*) AS n FROM every GROUP BY 1")
 def line_rank_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return doc_lines(spark, sf).select(T.rank(F.col("line")).alias("rank")).groupBy("rank").agg(F.count("*").alias("n"))
+    return all_lines(spark, sf).select(T.rank(F.col("line")).alias("rank")).groupBy("rank").agg(F.count("*").alias("n"))
 
 
 SALIENT_SQL = f"regexp_matches(line, {lit(duck_re(T.SALIENT))})"
@@ -95,9 +103,9 @@ def salient_lines(spark: SparkSession, sf: str) -> DataFrame:
     return log_lines(spark, sf).where(T.is_salient(line) & ~T.is_noise(line)).withColumn("rank", T.rank(line))
 
 
-@query(f"WITH {DOC_LINES} SELECT {rank_sql('line')} > 0 AS interesting, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM dl GROUP BY 1")
+@query(f"WITH {ALL_LINES} SELECT {rank_sql('line')} > 0 AS interesting, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM every GROUP BY 1")
 def interesting_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return doc_lines(spark, sf).select(T.is_interesting(F.col("line")).alias("interesting"), "line").groupBy("interesting").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    return all_lines(spark, sf).select(T.is_interesting(F.col("line")).alias("interesting"), "line").groupBy("interesting").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
 @query("SELECT doc_id, coalesce(text, '') AS restored FROM documents")
@@ -662,7 +670,7 @@ INGESTED = [
     ("j.bin", "binary", "ValueError: no text in a binary file", 0, ""),
     ("k.pdf", "pdf", "ValueError: the PDF is damaged", 0, ""),
     ("l.docx", "docx", None, 3, 'Before the anchor after.\n\n## Comments\n\n- Ann: on "the anchor": Check this'),
-    ("m.pdf", "pdf", None, 2, "éßc •\nAB ABA\nHi\nj\n\nitem,units,price\nbolt,7,1.50\nnut,12,0.25\nwasher,,0.10"),
+    ("m.pdf", "pdf", None, 2, "e\u0301ßc •\nAB ABA\nHi\nj\n\nitem,units,price\nbolt,7,1.50\nnut,12,0.25\nwasher,,0.10"),
 ]
 
 
