@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch, perhaps_among, rows_of, unused, whole_units
@@ -36,7 +36,7 @@ class Settings:
     chunks: int = 256
     verify_cost: float = 10.0
     unseen: float = 0.2
-    bands: int = 4
+    bands: int = 8
     block: int = 1000
 
 
@@ -177,6 +177,18 @@ def list_pairs(starts: np.ndarray, sizes: np.ndarray, most: int = 250_000) -> It
             yield (part + x).ravel(), (part + y).ravel()
 
 
+def summed(found: list[np.ndarray]) -> np.ndarray:
+    """Rows (x, y, need, k), one a pair: the least need, the sum of k."""
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+    return np.column_stack([rows[starts, :2], np.minimum.reduceat(rows[:, 2], starts), np.add.reduceat(rows[:, 3], starts)])
+
+
+def told(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(dict(zip(("x", "y", "need", "k"), np.ascontiguousarray(rows.T), strict=True)))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text); links need a Jaccard similarity of part/of.
 
@@ -239,16 +251,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
                     continue
                 seen.add(own)
                 p, ell = ordered_prefix(h, excess, level, s)
-                out.append((p.view(np.int64), own[0], len(h), ell))
+                out.append((p.view(np.int64), own[0], len(h), ell, excess[counter_of(p, s)] > s.block))
             if out:
                 k = [len(o[0]) for o in out]
                 each = lambda i, kind: np.repeat(np.array([o[i] for o in out], kind), k)  # noqa: B023, E731
-                yield pa.RecordBatch.from_pydict({"tok": np.concatenate([o[0] for o in out]), "s1": each(1, np.int64), "n": each(2, np.int32), "pos": np.concatenate([np.arange(j, dtype=np.int32) for j in k]), "ell": each(3, np.int32)})
+                yield pa.RecordBatch.from_pydict({"tok": np.concatenate([o[0] for o in out]), "s1": each(1, np.int64), "n": each(2, np.int32), "pos": np.concatenate([np.arange(j, dtype=np.int32) for j in k]), "ell": each(3, np.int32), "hot": np.concatenate([o[4] for o in out])})
 
-    postings = text.where(F.col("doc_id").isNotNull()).mapInArrow(index, "tok long, s1 long, n int, pos int, ell int")
-    # A shingle that one set alone has in its prefix joins nothing. One entry a set, whichever tasks met copies of it.
-    common = postings.groupBy("tok").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("tok")
-    live = scratch.put(postings.join(common, "tok", "left_semi").distinct())
+    postings = text.where(F.col("doc_id").isNotNull()).mapInArrow(index, "tok long, s1 long, n int, pos int, ell int, hot boolean")
+    # A shingle that one set alone has in its prefix joins nothing. What the sketch knows as frequent is certain to join,
+    # and is dealt out by set, so that no task gets all of it. One entry a set, whichever tasks met copies of it.
+    postings = postings.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("s1"), F.lit(1 << 20))).otherwise(0))
+    one_list = Window.partitionBy("tok", "salt")
+    postings = postings.repartition(n_parts, "tok", "salt").withColumn("alone", ~F.col("hot") & (F.min("s1").over(one_list) == F.max("s1").over(one_list)))
+    live = scratch.put(postings.where(~F.col("alone")).select("tok", "salt", "s1", "n", "pos", "ell").distinct().drop("salt"))
 
     # Documents with one set are one node, named by its smallest id.
     alone = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -268,14 +283,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
     entries = entries.withColumn("own", F.pmod(F.xxhash64("s1"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     units = entries.select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "doc", "comp", "pos", "ell", "bits")
 
-    def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
+    def pairs(part: pa.Table) -> Iterator[np.ndarray]:
         """Pairs of a unit in different components that size and position allow, within the shorter of both prefixes."""
         t, i, j, own, d, comp, n, pos, ell = (part[c].to_numpy().astype(np.int64) for c in ("tok", "i", "j", "own", "doc", "comp", "n", "pos", "ell"))
         starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         size = np.diff(np.r_[starts, len(t)])
         left = n - pos
         bits = rows_of(part, "bits", "<u8")
-        out = []
         for x, y in list_pairs(starts, size):
             need = np.minimum(ell[x], ell[y])
             ok = (comp[x] != comp[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & (n[x] * s.of >= n[y] * s.part)
@@ -287,14 +301,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
             ok = n[x] + n[y] - apart >= 2 * required(n[x], n[y], s)
             x, y, need = x[ok], y[ok], need[ok]
             if len(x):
-                out.append(np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y]), need], 1))
-        if out:
-            found, k = np.unique(np.concatenate(out), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"x": found[:, 0], "y": found[:, 1], "need": found[:, 2], "k": k.astype(np.int64)})
+                yield np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y]), need, np.ones(len(x), np.int64)], 1)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """`pairs` of all units, each with how often it was met; what a task holds is bounded, and told in parts if need be."""
+        held, size = [], 0
         for part in whole_units(batches, ("tok", "i", "j")):
-            yield from pairs(part)
+            for found in pairs(part):
+                held.append(found)
+                size += len(found)
+                if size > 1_000_000:
+                    held = [summed(held)]
+                    if (size := len(held[0])) > 500_000:
+                        yield told(held[0])
+                        held, size = [], 0
+        if held:
+            yield told(summed(held))
 
     units = units.repartition(n_parts, "tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "doc")
     second = units.mapInArrow(across, "x long, y long, need long, k long")
