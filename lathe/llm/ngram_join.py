@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, perhaps_among, rows_of, unused, whole_units
+from ._common import Scratch, perhaps_among, rows_of, slices, unused, whole_units
 from .components import connected_components
 
 
@@ -161,7 +161,7 @@ def ordered_prefix(h: np.ndarray, excess: np.ndarray, level: np.ndarray, s: Sett
     return h[order[: first + ell]], ell
 
 
-def list_pairs(starts: np.ndarray, sizes: np.ndarray, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def list_pairs(starts: np.ndarray, sizes: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of all pairs within each list, lists of one size at a time; a long list goes row by row."""
     for m in np.unique(sizes[sizes > 1]):
         own = starts[sizes == m]
@@ -210,7 +210,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
             """A batch of these columns; the others are null."""
             return pa.RecordBatch.from_pydict({c: own[c] if isinstance(own.get(c), pa.Array) else pa.array(own.get(c, [None] * rows), kind) for c, kind in kinds.items()})
 
-        for b in batches:
+        for b in slices(batches):
             some = shingle.sets(b.column("text").to_pylist())
             names = np.stack([named(h) for h in some]) if some else np.zeros((0, 2), np.int64)
             at, k = np.unique(counter_of(np.concatenate([*some, np.zeros(0, np.uint64)]), s), return_counts=True)
@@ -243,7 +243,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, (excess, level), seen = Shingler(s.words), shared.value, set()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for h in shingle.sets(b.column("text").to_pylist()):
                 own = tuple(named(h).tolist())
@@ -310,9 +310,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
             for found in pairs(part):
                 held.append(found)
                 size += len(found)
-                if size > 1_000_000:
+                if size > 400_000:
                     held = [summed(held)]
-                    if (size := len(held[0])) > 500_000:
+                    if (size := len(held[0])) > 200_000:
                         yield told(held[0])
                         held, size = [], 0
         if held:
@@ -339,7 +339,7 @@ def verified(text: DataFrame, pairs: DataFrame, scratch: Scratch, s: Settings) -
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(s.words)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_pydict({"doc": b.column("doc_id"), "own": pa.array([packed(h) for h in shingle.sets(b.column("text").to_pylist())], pa.binary())})
 
     made = scratch.put(own.where(named_by_a_pair).select("doc_id", "text").mapInArrow(sets, "doc long, own binary"))
