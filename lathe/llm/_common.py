@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -111,6 +113,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
+def give_back() -> None:
+    """Memory that was freed in this process goes back to the system; a worker is used again by stages that need other tables.
+
+    Where the C library has no such call, what it keeps stays with it.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def whole_units(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Tables of whole units from a partition that is sorted by `keys`; no more than a batch and a unit are held."""
     rest = None

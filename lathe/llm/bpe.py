@@ -19,7 +19,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import give_back, slices
+
 NEVER = 1 << 62
+#: Pairs of tokens whose compatibility is remembered; some 80 bytes each.
+PAIRS = 1 << 18
 
 
 #: White space of the splitter; str.split() also splits at the four separators U+001C to U+001F.
@@ -38,13 +42,16 @@ def bytes_as_characters() -> dict[int, int]:
 
 
 class Known(dict):
-    """Encoded stretches of two generations: when the young one is full it becomes the old one, so memory is bounded."""
+    """Ids of stretches, of two generations: when the young one is full it becomes the old one, so memory is bounded.
+
+    A stretch has one small value; decoded text is made anew from ids, as keeping it takes more than all the rest.
+    """
 
-    def __init__(self, make: Callable[[str], tuple[bytes, str]], most: int) -> None:
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, key: str) -> tuple[bytes, str]:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -136,9 +143,10 @@ class WordBpe:
     def __init__(self, spec: str, cache: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_str(spec)
         raw = json.loads(spec)
         model = raw["model"]
+        # Only normaliser and splitter are used, so the library need not hold the vocabulary once more.
+        self.lib = Tokenizer.from_str(json.dumps(raw | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         if "".join(raw["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]) != SPLIT_RULE or raw["decoder"]:
             raise ValueError("another splitter or decoder than this encoder's")
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("ignore_merges"):
@@ -175,7 +183,7 @@ class WordBpe:
         key = left << 20 | right
         if (hit := self.pairs.get(key)) is not None:
             return hit
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         ok = self.pairs[key] = self._compatible(left, right)
         return ok
@@ -253,39 +261,39 @@ class WordBpe:
             return [x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.bytes) for x in SPLIT.findall(chunk.lower())]
         return [x for x, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(chunk))]
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the decoded text, of a stretch without white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """Ids as little-endian 32-bit integers of a stretch without white space."""
         ids = [i for piece in self.pieces(chunk) for i in self.word(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.name[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunks(self, text: str) -> list[str]:
         return [x for x in SPACE.split(text) if x] if SEPARATORS.search(text) else text.split()
 
-    def plain(self, text: str) -> tuple[list[bytes], list[str]]:
+    def plain(self, text: str) -> bytes:
         known = self.known
-        got = [known[c] for c in self.chunks(text)]
-        return [x for x, _ in got], [y for _, y in got if y]
+        return b"".join([known[c] for c in self.chunks(text)])
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """(ids as bytes, decoded text) of a whole text; null counts as empty."""
+    def ids(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers; null counts as empty."""
         text = text or ""
         if self.at_special is None or not self.at_special.search(text):
-            ids, words = self.plain(text)
-            return b"".join(ids), " ".join(words)
-        ids, words, done = [], [], 0
+            return self.plain(text)
+        ids, done = [], 0
         for m in [*self.at_special.finditer(text), None]:
-            x, y = self.plain(text[done : m.start() if m else len(text)])
-            ids += x
-            words += y
+            ids.append(self.plain(text[done : m.start() if m else len(text)]))
             if m:
                 ids.append(self.special[m[0]].to_bytes(4, "little"))
-                words.append(m[0])
                 done = m.end()
-        return b"".join(ids), " ".join(words)
+        return b"".join(ids)
+
+    def encode(self, text: str | None) -> tuple[bytes, str]:
+        """(ids as bytes, decoded text) of a whole text; null counts as empty."""
+        ids = self.ids(text)
+        return ids, self.decode(ids)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included, as the file's (absent) decoder gives it: names joined by blanks."""
-        return " ".join(self.name[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
+        return " ".join(map(self.name.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -306,6 +314,7 @@ def encoder(spec: str) -> WordBpe:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _encoders:
         _encoders[key] = WordBpe(spec)
+        give_back()
     return _encoders[key]
 
 
@@ -313,8 +322,9 @@ def _over_texts(docs: DataFrame, spec, make: Callable[[WordBpe, str | None], tup
     """doc_id and what `make` gives for each text; ids stay in Arrow, so that long ones beside null ones keep their digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = encoder(spec.value)
-        for b in batches:
+        for b in slices(batches):
             got = [make(own, t) for t in b.column("text").to_pylist()]
             made = {name: pa.array([g[i] for g in got], kind) for i, (name, kind) in enumerate(columns.items())}
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), **made})
@@ -331,8 +341,8 @@ def encode_documents(spark: SparkSession, docs: DataFrame, *, path: str | None =
     wanted = {"n_tokens": pa.int64()} | ({"ids": pa.binary()} if ids else {}) | ({"decoded": pa.string()} if decoded else {})
 
     def make(own: WordBpe, text: str | None) -> tuple:
-        x, y = own.encode(text)
-        return (len(x) // 4, *([x] if ids else []), *([y] if decoded else []))
+        x = own.ids(text)
+        return (len(x) // 4, *([x] if ids else []), *([own.decode(x)] if decoded else []))
 
     schema = "doc_id long, n_tokens long" + ", ids binary" * ids + ", decoded string" * decoded
     return _over_texts(docs, spark.sparkContext.broadcast(vocabulary(path)), make, wanted, schema)

@@ -5,8 +5,12 @@ import itertools
 import math
 import random
 import re
+import sys
 import textwrap
+import tracemalloc
+import types
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -172,6 +176,27 @@ def test_bpe_cache_is_bounded():
     assert len(own.known) <= 51 and len(own.known.old) <= 51
 
 
+def test_bpe_worker_holds_little(spark):
+    """A known stretch costs its key and its ids, the library holds no second vocabulary, and results leave by the thousand."""
+    own, rng = bpe.WordBpe(bpe.vocabulary()), random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopq", k=8)) for _ in range(10)) for _ in range(2500)]
+    tracemalloc.start()
+    own.known = bpe.Known(own.chunk, 300_000)
+    first = [own.encode(t) for t in texts]
+    own.pairs.clear()
+    kept = tracemalloc.get_traced_memory()[0] - sum(sys.getsizeof(x) for pair in first for x in pair)
+    tracemalloc.stop()
+    assert kept / len(own.known) < 220
+    assert own.lib.get_vocab_size() == 0
+
+    runs = []
+    table = types.SimpleNamespace(select=lambda *_: types.SimpleNamespace(mapInArrow=lambda run, _: runs.append(run)))
+    bpe._over_texts(table, types.SimpleNamespace(value=bpe.vocabulary()), lambda own, t: (own.encode(t)[0],), {"ids": pa.binary()}, "")
+    got = list(runs[0](iter([pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "text": texts})])))
+    assert max(map(len, got)) <= 1000
+    assert [x for b in got for x in b["ids"].to_pylist()] == [ids for ids, _ in first]
+
+
 def test_bpe_odd_rows_and_lengths(spark):
     rows = [*ODD, (5, "hello world"), (5, "hello world"), (6, "x " * 50)]
     got = bpe.digest_documents(spark, docs(spark, rows)).collect()
